@@ -12,8 +12,13 @@ def score_number(score: Column) -> Column:
 
 
 def mean_text(value: Column, suffix: str = "") -> Column:
-    """Mean to two decimals, as text."""
-    return F.concat(F.round(F.avg(value), 2).cast("string"), F.lit(suffix))
+    """Mean to two decimals, half up, as text.
+
+    Summed as decimals, so the result does not depend on the order in which
+    tasks add up.
+    """
+    mean = F.round(F.avg(value.cast("decimal(20,6)")), 2)
+    return F.concat(mean.cast("double").cast("string"), F.lit(suffix))
 
 
 def seconds_text(seconds: Column) -> Column:

@@ -86,8 +86,8 @@ def judge_by_rubric(
 
 
 def cosine_score(cosine: Column) -> Column:
-    """1 to 5 in even steps of the cosine."""
-    return F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(cosine * 5))).cast("int")
+    """1 to 5 in even steps of the cosine; NULL stays NULL."""
+    return F.when(cosine.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(cosine * 5))).cast("int"))
 
 
 def token_similarity(output: Column, truth: Column) -> tuple[Column, Column]:
@@ -97,7 +97,8 @@ def token_similarity(output: Column, truth: Column) -> tuple[Column, Column]:
     model-graded metric.
     """
     cosine = F.round(text_cosine(output, truth), 6)
-    return cosine_score(cosine).cast("string"), F.format_string("token cosine %.6f", cosine)
+    shown = F.when(cosine.isNotNull(), F.format_string("token cosine %.6f", cosine))
+    return cosine_score(cosine).cast("string"), shown
 
 
 def tool_truths(answers: DataFrame, observations: DataFrame, city: str) -> DataFrame:

@@ -109,11 +109,17 @@ _EXPLANATION = r"""CASE WHEN regexp_matches(reply, '\*\*Explanation:\*\*')
     THEN regexp_extract(reply, '\*\*Explanation:\*\*\s*([^\n]*)', 1) END"""
 
 
+def _mean(value: str) -> str:
+    """Mean to two decimals, half up, in whole hundredths."""
+    hundredths = f"sum(round({value} * 100)::bigint)"
+    return f"(((2 * {hundredths} + count({value})) // (2 * count({value}))) / 100.0)::double::varchar"
+
+
 def _averages(exclude: str, truncate: bool) -> str:
     score, seconds = (f"trunc({_NUMBER})", "trunc(time_s)") if truncate else (_NUMBER, "time_s")
     return f"""
 averages AS (
-  SELECT model, round(avg({score}), 2)::varchar AS avg_score, round(avg({seconds}), 2)::varchar || 's' AS avg_speed,
+  SELECT model, {_mean(score)} AS avg_score, {_mean(seconds)} || 's' AS avg_speed,
          count(*) FILTER (WHERE {_NUMBER} IS NULL) AS n_unscored
   FROM log WHERE {exclude} GROUP BY model)"""
 
@@ -140,7 +146,7 @@ cosines AS (
   LEFT JOIN (SELECT l.id, sum(l.n * r.n) AS dot FROM lt l JOIN rt r ON l.id = r.id AND l.b = r.b GROUP BY 1) d ON d.id = k.id
   LEFT JOIN lt_norm a ON a.id = k.id LEFT JOIN rt_norm b ON b.id = k.id),
 alike AS (
-  SELECT id, greatest(1, least(5, ceil(cosine * 5)))::int::varchar AS score,
+  SELECT id, CASE WHEN cosine IS NOT NULL THEN greatest(1, least(5, ceil(cosine * 5)))::int::varchar END AS score,
          'token cosine ' || printf('%.6f', cosine) AS explanation
   FROM cosines)"""
 
