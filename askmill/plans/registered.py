@@ -16,7 +16,7 @@ from askmill.functions import chat
 from askmill.functions.text import render, words
 from askmill.functions.vectors import HashingEmbedder, squared_norm, word_bucket
 from askmill.operators.asof import latest_before
-from askmill.operators.chunks import chunk_documents
+from askmill.operators.chunks import chunk_documents, chunk_lengths
 from askmill.operators.clients import ExtractiveStub, LengthJudgeStub
 from askmill.operators.generate import generate
 from askmill.operators.judge import (
@@ -92,7 +92,7 @@ def q_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_chunk_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_lang = chunk_documents(documents(spark, sf_dir), keep=["lang"]).groupBy("lang")
+    by_lang = chunk_lengths(documents(spark, sf_dir), keep=["lang"]).groupBy("lang")
     return by_lang.agg(
         F.count("*").alias("n_chunks"),
         F.sum("n_words").alias("n_words"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,22 @@ def new_session(app: str = "askmill", cores: int | None = None, shuffle_partitio
         builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of ``spark``, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="askmill-zip-"), "askmill")
+        archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+    return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
