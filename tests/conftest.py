@@ -17,3 +17,13 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def pickle_test_functions_by_value(request):
+    """Clients defined in a test module are not importable in the workers."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(request.module)
+    yield
+    cloudpickle.unregister_pickle_by_value(request.module)
