@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
+def _hot_keys(moments: DataFrame, key: str, slices: int) -> list:
+    """Keys that hold more than one part in ``slices`` of all rows; there are fewer than ``slices``."""
+    seen = Observation()
+    counts = moments.groupBy(key).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
+    largest = counts.orderBy(F.col("n").desc()).limit(slices - 1).collect()
+    total = seen.get["total"] or 0
+    return [row[key] for row in largest if row["n"] * slices > total]
+
+
 def _slice_of(at: Column, edges: Column, n_edges: int) -> Column:
     """How many of the sorted ``edges`` (at most ``n_edges``) lie below ``at``, by halving steps."""
     steps, step = [], 1
@@ -22,50 +31,75 @@ def _slice_of(at: Column, edges: Column, n_edges: int) -> Column:
     )
 
 
-def latest_before(
-    asks: DataFrame, observations: DataFrame, key: str, asked_at: str, observed_at: str, value: str, slices: int = 64
-) -> DataFrame:
-    """``asks`` with ``value`` of the latest observation of the same ``key``; NULL if none.
+def _in_one_window(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value: str) -> DataFrame:
+    """Asks and observations on one timeline per key: a single shuffle, and no pairs."""
+    columns = asks.columns
+    timeline = asks.select(
+        key, F.col(asked_at).alias("_at"), F.struct(*[F.col(c) for c in columns]).alias("_ask")
+    ).unionByName(seen, allowMissingColumns=True)
+    # At equal times observations come first, and of these the greatest value last.
+    order = [F.col("_at"), F.col("_ask").isNotNull(), F.col("_held")]
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = timeline.withColumn("_held", F.last("_held", ignorenulls=True).over(so_far))
+    return latest.where(F.col("_ask").isNotNull()).select("_ask.*", F.col("_held.value").alias(value))
 
-    Both sides are merged into one timeline rather than joined, so no pairs
-    arise. Two things keep a key that holds most of the rows from landing in
-    one task: equal times are folded beforehand, and each key's time is cut
-    into ``slices`` at quantiles of all times. What crosses a slice border is
-    one row per key and slice. Of observations at the same time the greatest
-    value counts.
-    """
-    held = F.struct(F.col(value).alias("value"))
-    seen = observations.groupBy(key, F.col(observed_at).alias("at")).agg(F.max(held).alias("held"))
-    wanted = (
-        asks.where(F.col(key).isNotNull() & F.col(asked_at).isNotNull())
-        .select(key, F.col(asked_at).alias("at"))
-        .distinct()
-    )
-    moments = asks.select(F.col(asked_at).alias("at")).unionAll(observations.select(F.col(observed_at).alias("at")))
-    edges = moments.agg(
-        F.percentile_approx("at", [i / slices for i in range(1, slices)], 100 * slices).alias("edges")
-    ).scalar()
 
-    timeline = (
-        seen.where(F.col(key).isNotNull() & F.col("at").isNotNull())
-        .withColumn("is_ask", F.lit(False))
-        .unionByName(wanted.withColumn("is_ask", F.lit(True)), allowMissingColumns=True)
-        .withColumn("edges", edges)
-        .withColumn("slice", _slice_of(F.col("at"), F.col("edges"), slices - 1))
-        .drop("edges")
+def _in_slices(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value: str, slices: int) -> DataFrame:
+    """The same for keys too large for one task.
+
+    Equal times are folded first, each key's time is cut at its own quantiles,
+    and one row per key and slice carries the newest observation onwards.
+    """
+    moments = asks.select(key, F.col(asked_at).alias("_at")).unionByName(seen.select(key, "_at"))
+    fractions = [i / slices for i in range(1, slices)]
+    edges = moments.groupBy(key).agg(F.percentile_approx("_at", fractions, 100 * slices).alias("_edges"))
+    folded = (
+        asks.select(key, F.col(asked_at).alias("_at"), F.lit(True).alias("_wanted"))
+        .unionByName(seen, allowMissingColumns=True)
+        .groupBy(key, "_at")
+        .agg(F.max("_held").alias("_held"), F.max("_wanted").alias("_wanted"))
     )
-    # An observation at the very time of an ask sorts before it.
-    so_far = (
-        Window.partitionBy(key, "slice").orderBy("at", "is_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Fewer than ``slices`` keys, each with as many edges.
+    timeline = folded.join(F.broadcast(edges), key).withColumn(
+        "_slice", _slice_of(F.col("_at"), F.col("_edges"), slices - 1)
     )
-    within = timeline.withColumn("held", F.last("held", ignorenulls=True).over(so_far)).where("is_ask")
-    earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    timeline = timeline.drop("_edges")
+    so_far = Window.partitionBy(key, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = timeline.withColumn("_held", F.last("_held", ignorenulls=True).over(so_far)).where("_wanted")
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        timeline.groupBy(key, "slice")
-        .agg(F.max(F.when(~F.col("is_ask"), F.struct("at", "held"))).alias("newest"))
-        .select(key, "slice", F.last(F.col("newest.held"), ignorenulls=True).over(earlier).alias("carried"))
+        timeline.groupBy(key, "_slice")
+        .agg(F.max(F.when(F.col("_held").isNotNull(), F.struct("_at", "_held"))).alias("_newest"))
+        .select(key, "_slice", F.last(F.col("_newest._held"), ignorenulls=True).over(earlier).alias("_carried"))
     )
-    resolved = within.join(carried, [key, "slice"], "left").select(
-        key, F.col("at").alias(asked_at), F.coalesce("held", "carried")["value"].alias(value)
+    resolved = within.join(carried, [key, "_slice"], "left").select(
+        key, F.col("_at").alias(asked_at), F.coalesce("_held", "_carried")["value"].alias(value)
     )
     return asks.join(resolved, [key, asked_at], "left").select(*asks.columns, value)
+
+
+def latest_before(
+    asks: DataFrame, observations: DataFrame, key: str, asked_at: str, observed_at: str, value: str, slices: int = 64
+) -> DataFrame:
+    """``asks`` with ``value`` of the latest observation of the same ``key``; NULL if none.
+
+    Of observations at the same time the greatest value counts. Rows per key
+    are counted first: keys that hold more than one part in ``slices`` of all
+    rows are worked on in that many time slices, all others as a whole.
+    """
+    held = F.struct(F.col(value).alias("value")).alias("_held")
+    seen = observations.select(key, F.col(observed_at).alias("_at"), held).where(
+        F.col(key).isNotNull() & F.col("_at").isNotNull()
+    )
+    placed = F.col(key).isNotNull() & F.col(asked_at).isNotNull()
+    dated = asks.where(placed)
+    missing = asks.where(~placed).withColumn(value, F.lit(None).cast(observations.schema[value].dataType))
+    hot = _hot_keys(dated.select(key).unionAll(seen.select(key)), key, slices)
+    is_hot = F.col(key).isin(hot)
+    found = _in_one_window(
+        dated.where(~is_hot) if hot else dated, seen.where(~is_hot) if hot else seen, key, asked_at, value
+    )
+    if hot:
+        sliced = _in_slices(dated.where(is_hot), seen.where(is_hot), key, asked_at, value, slices)
+        found = found.unionByName(sliced)
+    return found.unionByName(missing)
