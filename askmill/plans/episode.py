@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from askmill.functions.vectors import HashingEmbedder
 from askmill.operators.chunks import chunk_documents
@@ -18,8 +19,12 @@ from askmill.sources.configs import answer_settings, judge_settings, question_ro
 from askmill.sources.tables import TableSet, append_table, check_targets, overwrite_table
 
 
-def create_chunks(spark: SparkSession, names: TableSet, documents: DataFrame, single_document: bool = False) -> None:
-    overwrite_table(chunk_documents(documents, single_document=single_document), names.chunks)
+def create_chunks(spark: SparkSession, names: TableSet, documents: DataFrame, single_document: bool = False) -> int:
+    """Write the chunk table; returns the number of chunks, counted while writing."""
+    counted = Observation()
+    chunks = chunk_documents(documents, single_document=single_document)
+    overwrite_table(chunks.observe(counted, F.count(F.lit(1)).alias("n")), names.chunks)
+    return counted.get["n"]
 
 
 def create_index(spark: SparkSession, names: TableSet, embedder) -> None:

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from askmill import schemas
+from askmill.operators.dimensions import broadcast_if_small
 from askmill.operators.latest import latest_per_key
 from askmill.operators.vectors import embed
 
@@ -40,13 +40,17 @@ def publish_changes(changes: DataFrame, feed: str) -> None:
     changes.select("id", "text", "op", "seq").write.mode("append").parquet(feed)
 
 
+def _folder(spark: SparkSession, path: str):
+    """File system and path object; Spark's Python API has none of its own."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target  # noqa: SLF001
+
+
 def _versions(spark: SparkSession, index: str) -> DataFrame:
-    try:
+    files, target = _folder(spark, index)
+    if files.exists(target):
         return spark.read.schema(VERSIONS).parquet(index)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], VERSIONS)
+    return spark.createDataFrame([], VERSIONS)
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:
@@ -67,7 +71,8 @@ def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -
     last = latest_per_key(changes, ["id"], [F.col("seq").desc()]).withColumn("content_hash", F.sha2("text", 256))
     stored = _versions(spark, index).where(F.col("version") < version)
     # Rank only the stored rows whose id changes; text and vectors are not read.
-    touched = stored.select("id", "version", "op", "seq", "content_hash").join(last.select("id"), "id", "left_semi")
+    ids = broadcast_if_small(changes.select("id"), rows=1_000_000)
+    touched = stored.select("id", "version", "op", "seq", "content_hash").join(ids, "id", "left_semi")
     state = latest_per_key(touched, ["id"], [F.col("version").desc()]).select(
         "id",
         F.col("op").alias("stored_op"),
@@ -95,9 +100,18 @@ def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -
     )
 
 
-def sync_index(spark: SparkSession, feed: str, index: str, checkpoint: str, embedder=None) -> None:
-    """Take in all changes published since the last sync, then stop."""
-    changes = spark.readStream.schema(schemas.CHANGES).parquet(feed)
+def sync_index(
+    spark: SparkSession, feed: str, index: str, checkpoint: str, embedder=None, max_files: int | None = None
+) -> None:
+    """Take in all changes published since the last sync, then stop.
+
+    ``max_files`` bounds what one micro-batch takes in; the sync then runs as
+    many as it needs.
+    """
+    reader = spark.readStream.schema(schemas.CHANGES)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    changes = reader.parquet(feed)
     query = (
         changes.writeStream.foreachBatch(lambda batch, version: apply_changes(batch, version, index, embedder))
         .option("checkpointLocation", checkpoint)
@@ -109,7 +123,6 @@ def sync_index(spark: SparkSession, feed: str, index: str, checkpoint: str, embe
 
 def drop_index(spark: SparkSession, *paths: str) -> None:
     """Delete index and checkpoint folders, so that the next sync starts afresh."""
-    hadoop = spark._jsc.hadoopConfiguration()  # noqa: SLF001 - Spark offers no other way to delete a path
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        target.getFileSystem(hadoop).delete(target, True)
+        files, target = _folder(spark, path)
+        files.delete(target, True)

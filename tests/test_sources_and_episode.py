@@ -125,7 +125,7 @@ def test_materialised_rows_are_fixed(spark):
 
 def test_whole_episode(spark, configs, schema):
     names = TableSet("spark_catalog", schema, "birds")
-    text = "Herons eat frogs " + " ".join(f"word{i}" for i in range(400))
+    text = "Herons eat frogs " * 60 + " ".join(f"word{i}" for i in range(223))
     documents = spark.createDataFrame([("herons", text), ("songs", "Songs are sung")], "doc_id string, text string")
     condition = {"current_condition": [{"temp_C": "20", "weatherDesc": [{"value": "Sun"}]}]}
     observations = spark.createDataFrame([("Oulu", dt.datetime(2024, 6, 1), json.dumps(condition))], schemas.OBSERVATIONS)
@@ -159,6 +159,7 @@ def test_whole_episode(spark, configs, schema):
     answers = spark.read.table(names.answers)
     assert answers.count() == 8 and set(answers.columns) == set(schemas.ANSWERS.replace(",", "").split()[0::2])
     assert spark.read.table(names.chunks).count() == 4
+    assert episode.create_chunks(spark, TableSet("spark_catalog", schema, "other"), documents) == 4
 
     # A second run is refused; judging again takes only what is new.
     with pytest.raises(ValueError):
