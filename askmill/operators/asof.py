@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
-def _hot_keys(moments: DataFrame, key: str, slices: int) -> list:
-    """Keys that hold more than one part in ``slices`` of all rows; there are fewer than ``slices``."""
+def _hot_keys(moments: DataFrame, key: str, slices: int, fits: int) -> list:
+    """Keys with over ``fits`` rows and over one part in ``slices`` of all; there are fewer than ``slices``."""
     seen = Observation()
     counts = moments.groupBy(key).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
     largest = counts.orderBy(F.col("n").desc()).limit(slices - 1).collect()
     total = seen.get["total"] or 0
-    return [row[key] for row in largest if row["n"] * slices > total]
+    return [row[key] for row in largest if row["n"] > fits and row["n"] * slices > total]
 
 
 def _slice_of(at: Column, edges: Column, n_edges: int) -> Column:
@@ -79,13 +79,21 @@ def _in_slices(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value:
 
 
 def latest_before(
-    asks: DataFrame, observations: DataFrame, key: str, asked_at: str, observed_at: str, value: str, slices: int = 64
+    asks: DataFrame,
+    observations: DataFrame,
+    key: str,
+    asked_at: str,
+    observed_at: str,
+    value: str,
+    slices: int = 64,
+    fits: int = 1_000_000,
 ) -> DataFrame:
     """``asks`` with ``value`` of the latest observation of the same ``key``; NULL if none.
 
     Of observations at the same time the greatest value counts. Rows per key
-    are counted first: keys that hold more than one part in ``slices`` of all
-    rows are worked on in that many time slices, all others as a whole.
+    are counted first: keys with more rows than one task should sort (``fits``)
+    that also hold more than one part in ``slices`` of all rows are worked on in
+    that many time slices, all others as a whole.
     """
     held = F.struct(F.col(value).alias("value")).alias("_held")
     seen = observations.select(key, F.col(observed_at).alias("_at"), held).where(
@@ -94,7 +102,7 @@ def latest_before(
     placed = F.col(key).isNotNull() & F.col(asked_at).isNotNull()
     dated = asks.where(placed)
     missing = asks.where(~placed).withColumn(value, F.lit(None).cast(observations.schema[value].dataType))
-    hot = _hot_keys(dated.select(key).unionAll(seen.select(key)), key, slices)
+    hot = _hot_keys(dated.select(key).unionAll(seen.select(key)), key, slices, fits)
     is_hot = F.col(key).isin(hot)
     found = _in_one_window(
         dated.where(~is_hot) if hot else dated, seen.where(~is_hot) if hot else seen, key, asked_at, value

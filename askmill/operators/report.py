@@ -122,13 +122,11 @@ def comparison(
         results.where(F.col("model").isin(list(models))), ["model", "question", "input_prompt"], newest
     )
     rows = report_rows(current, exclude, truncate, names, mask)
-    wide = (
-        rows.groupBy("section", "Questions")
-        .pivot("model", list(models))
-        .agg(F.max("score_text").alias("score"), F.max("speed_text").alias("speed"))
-        .fillna("")
-    )
+    # One conditional aggregate per model: a single shuffle, where pivot() takes two.
     columns = []
     for model in models:
-        columns += [F.col(f"`{model}_score`").alias(model), F.col(f"`{model}_speed`").alias(f"{model} speed")]
-    return wide.orderBy("section", "Questions").select("Questions", *columns)
+        own = F.col("model") == model
+        columns.append(F.coalesce(F.max(F.when(own, F.col("score_text"))), F.lit("")).alias(model))
+        columns.append(F.coalesce(F.max(F.when(own, F.col("speed_text"))), F.lit("")).alias(f"{model} speed"))
+    wide = rows.groupBy("section", "Questions").agg(*columns)
+    return wide.orderBy("section", "Questions").drop("section")

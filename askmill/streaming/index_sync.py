@@ -16,6 +16,9 @@ from askmill.operators.dimensions import broadcast_if_small
 from askmill.operators.latest import latest_per_key
 from askmill.operators.vectors import embed
 
+# Ids of changes are broadcast up to this many, if they are small enough as well.
+BROADCAST_IDS = 1_000_000
+
 VERSIONS = schemas.VECTORS + ", op string, seq bigint, version bigint"
 
 
@@ -53,10 +56,38 @@ def _versions(spark: SparkSession, index: str) -> DataFrame:
     return spark.createDataFrame([], VERSIONS)
 
 
+def _newest(spark: SparkSession, index: str) -> DataFrame:
+    """Newest version of each id, tombstones included.
+
+    Within a version ids are unique. The first version is the large one, and it
+    is not shuffled: only the ids and rows of the versions after it are, and
+    those ids are taken out of the first version.
+    """
+    stored = _versions(spark, index)
+    first = stored.agg(F.min("version")).first()[0]
+    if first is None:
+        return stored
+    base, later = stored.where(F.col("version") == first), stored.where(F.col("version") > first)
+    if later.isEmpty():
+        return base
+    replaced = broadcast_if_small(later.select("id"), rows=BROADCAST_IDS)
+    return base.join(replaced, "id", "left_anti").unionByName(
+        latest_per_key(later, ["id"], [F.col("version").desc()])
+    )
+
+
 def read_index(spark: SparkSession, index: str) -> DataFrame:
     """The live vectors: newest version of each id, deleted ones left out."""
-    newest = latest_per_key(_versions(spark, index), ["id"], [F.col("version").desc()])
-    return newest.where(F.col("op") != "delete").drop("op", "seq", "version")
+    return _newest(spark, index).where(F.col("op") != "delete").drop("op", "seq", "version")
+
+
+def compact_index(spark: SparkSession, index: str, target: str) -> None:
+    """Write all versions of an index as the one first version of another.
+
+    The version is below any micro-batch's, so a sync can go on with the same
+    checkpoint on ``target``, even with a batch that ``index`` holds already.
+    """
+    _newest(spark, index).withColumn("version", F.lit(-1).cast("bigint")).write.partitionBy("version").parquet(target)
 
 
 def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -> None:
@@ -71,7 +102,7 @@ def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -
     last = latest_per_key(changes, ["id"], [F.col("seq").desc()]).withColumn("content_hash", F.sha2("text", 256))
     stored = _versions(spark, index).where(F.col("version") < version)
     # Rank only the stored rows whose id changes; text and vectors are not read.
-    ids = broadcast_if_small(changes.select("id"), rows=1_000_000)
+    ids = broadcast_if_small(changes.select("id"), rows=BROADCAST_IDS)
     touched = stored.select("id", "version", "op", "seq", "content_hash").join(ids, "id", "left_semi")
     state = latest_per_key(touched, ["id"], [F.col("version").desc()]).select(
         "id",
@@ -87,10 +118,11 @@ def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -
         .where(F.when(F.col("op") == "delete", ~already_gone).otherwise(~F.coalesce(same_text, F.lit(False))))
         .select("id", "text", "content_hash", "op", "seq")
     )
-    deletes = news.where(F.col("op") == "delete").select("id", "op", "seq")
-    upserts = embed(news.where(F.col("op") != "delete"), "text", embedder)
+    # A deleted row has no text; it passes the embedder and loses the vector of nothing.
+    live = F.col("op") != "delete"
     (
-        upserts.unionByName(deletes, allowMissingColumns=True)
+        embed(news, "text", embedder)
+        .withColumns({"embedding": F.when(live, F.col("embedding")), "norm": F.when(live, F.col("norm"))})
         .withColumn("version", F.lit(version).cast("bigint"))
         .select("id", "text", "embedding", "norm", "content_hash", "op", "seq", "version")
         .write.mode("overwrite")

@@ -13,10 +13,10 @@ def at(minutes):
     return None if minutes is None else START + dt.timedelta(minutes=minutes)
 
 
-def run(spark, asks, seen, slices):
+def run(spark, asks, seen, slices, fits=0):
     asked = spark.createDataFrame([(i, k, at(t)) for i, (k, t) in enumerate(asks)], "i int, city string, asked_at timestamp")
     held = spark.createDataFrame([(k, at(t), v) for k, t, v in seen], "city string, observed_at timestamp, value string")
-    found = latest_before(asked, held, "city", "asked_at", "observed_at", "value", slices)
+    found = latest_before(asked, held, "city", "asked_at", "observed_at", "value", slices, fits)
     assert found.columns == ["i", "city", "asked_at", "value"]
     return {r.i: r.value for r in found.collect()}
 
@@ -30,13 +30,13 @@ def expected(asks, seen):
     return out
 
 
-@pytest.mark.parametrize("slices", [2, 5, 64])
-def test_against_a_loop_with_one_hot_key(spark, slices):
+@pytest.mark.parametrize("slices,fits", [(2, 0), (5, 0), (64, 0), (64, 10**6)])
+def test_against_a_loop_with_one_hot_key(spark, slices, fits):
     rng = random.Random(slices)
     seen = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.randrange(300), f"v{i:03d}") for i in range(200)]
     asks = [(rng.choice(["hot"] * 8 + ["a", "b", "unseen", None]), rng.randrange(300)) for _ in range(300)]
     asks += [("hot", 150)] * 200 + [("hot", None)]
-    assert run(spark, asks, seen, slices) == expected(asks, seen)
+    assert run(spark, asks, seen, slices, fits) == expected(asks, seen)
 
 
 def test_null_values_count_as_observed(spark):

@@ -6,6 +6,7 @@ from askmill.operators.vectors import build_index
 from askmill.streaming.index_sync import (
     apply_changes,
     chunk_changes,
+    compact_index,
     drop_index,
     publish_changes,
     read_index,
@@ -66,6 +67,33 @@ def test_a_batch_run_again_replaces_itself(spark, tmp_path):
     assert state(spark, index) == {"a": "1", "b": "3"}
 
 
+def test_compacted_index_goes_on(spark, tmp_path):
+    index, target = str(tmp_path / "index"), str(tmp_path / "target")
+    states = [chunks(spark, a="1", b="2", c="3"), chunks(spark, a="1", b="4"), chunks(spark, a="5", b="4", d="6")]
+    before = states[0].limit(0)
+    for version, after in enumerate(states):
+        apply_changes(chunk_changes(before, after, version), version, index)
+        before = after
+    compact_index(spark, index, target)
+    assert versions(target) == ["version=-1"]
+    assert state(spark, target) == state(spark, index) == {"a": "5", "b": "4", "d": "6"}
+    # The last batch again changes nothing, the next one does.
+    apply_changes(chunk_changes(states[1], states[2], 2), 2, target)
+    assert state(spark, target) == {"a": "5", "b": "4", "d": "6"}
+    apply_changes(chunk_changes(states[2], states[0], 3), 3, target)
+    assert state(spark, target) == {"a": "1", "b": "2", "c": "3"}
+
+
+def test_first_version_is_read_without_a_shuffle(spark, tmp_path):
+    index = str(tmp_path / "index")
+    apply_changes(chunk_changes(chunks(spark, z="z").limit(0), chunks(spark, a="1", b="2"), 1), 0, index)
+    assert "Exchange" not in read_index(spark, index)._jdf.queryExecution().executedPlan().toString()
+    apply_changes(chunk_changes(chunks(spark, a="1", b="2"), chunks(spark, a="1", b="3"), 2), 1, index)
+    plan = read_index(spark, index)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "PartitionFilters: [isnotnull(version" in plan
+
+
 def test_last_change_in_a_batch_wins_and_late_ones_lose(spark, tmp_path):
     index = str(tmp_path / "index")
     rows = [("a", "old", "upsert", 1), ("a", "new", "upsert", 5), ("b", None, "delete", 2), ("c", "t", "upsert", 3)]
