@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from askmill import schemas
 from askmill.functions.chat import messages, messages_json, weather_sentence
 from askmill.functions.numbers import score_number
-from askmill.functions.text import render_each
+from askmill.functions.text import render, render_each
 from askmill.functions.vectors import text_cosine
 from askmill.functions.verdict import verdict_explanation, verdict_score
 from askmill.operators.asof import latest_before
@@ -63,6 +63,25 @@ def with_verdict(replies: DataFrame, text: str) -> DataFrame:
     return read.withColumn("score_num", score_number(F.col("score")))
 
 
+def _ask_judge(
+    prompts: DataFrame,
+    columns: Sequence[str],
+    client_factory: Callable[[], Client],
+    parallelism: int | None,
+    requests_per_second: float | None,
+) -> DataFrame:
+    """Send ``judge_prompt`` to the judge model and read its verdict; keeps ``columns``."""
+    requests = prompts.select(
+        F.struct(*[F.col(c) for c in columns]).alias("answer"),
+        messages_json(messages(F.col("judge_system_prompt"), F.col("judge_prompt"))).alias("request"),
+        F.col("judge_params").alias("params"),
+        F.col("judge_endpoint").alias("endpoint"),
+    )
+    replies = generate(requests, client_factory, parallelism, requests_per_second)
+    verdicts = with_verdict(replies.select("answer", F.col("ai_output").alias("reply")), "reply")
+    return verdicts.select("answer.*", "score", "explanation", "score_num")
+
+
 def judge_by_rubric(
     answers: DataFrame,
     rubrics: DataFrame,
@@ -73,16 +92,28 @@ def judge_by_rubric(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Verdicts of a judge model. ``answers`` carries the judge's settings as columns."""
     prompts, rejected = rubric_prompts(answers, rubrics, mode)
-    kept = F.struct(*[F.col(c) for c in answers.columns]).alias("answer")
-    requests = prompts.select(
-        kept,
-        messages_json(messages(F.col("judge_system_prompt"), F.col("judge_prompt"))).alias("request"),
-        F.col("judge_params").alias("params"),
-        F.col("judge_endpoint").alias("endpoint"),
-    )
-    replies = generate(requests, client_factory, parallelism, requests_per_second)
-    verdicts = with_verdict(replies.select("answer", F.col("ai_output").alias("reply")), "reply")
-    return verdicts.select("answer.*", "score", "explanation", "score_num"), rejected
+    return _ask_judge(prompts, answers.columns, client_factory, parallelism, requests_per_second), rejected
+
+
+SIMILARITY_TEMPLATE = (
+    "Compare an answer with the truth. Judge how alike they are in meaning, on a scale from 1 to 5.\n\n"
+    "**Original Question:** '{question}'\n**Given Answer to be Evaluated:** '{answer}'\n**Truth:** '{truth}'\n\n"
+    "### OUTPUT FORMAT:\n\n**Score:** _\n**Explanation:** _\n"
+)
+
+
+def judge_by_graded_similarity(
+    answers: DataFrame,
+    client_factory: Callable[[], Client],
+    template: str = SIMILARITY_TEMPLATE,
+    parallelism: int | None = None,
+    requests_per_second: float | None = None,
+) -> DataFrame:
+    """Similarity to the column ``truth`` as graded by a judge model."""
+    slots = {"question": F.col("input_prompt"), "answer": F.col("ai_output"), "truth": F.col("truth")}
+    prompts = answers.withColumn("judge_prompt", render(template, slots))
+    columns = [c for c in answers.columns if c != "truth"]
+    return _ask_judge(prompts, columns, client_factory, parallelism, requests_per_second)
 
 
 def cosine_score(cosine: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askmill.operators.clients import Client
-from askmill.operators.dimensions import broadcast_if_small
+from askmill.operators.dimensions import look_up
 from askmill.operators.judge import (
     EXCLUDED,
+    judge_by_graded_similarity,
     judge_by_rubric,
     judge_by_similarity,
     to_judge,
@@ -20,6 +21,7 @@ from askmill.operators.judge import (
 from askmill.operators.latest import not_yet_judged
 
 ANSWER_KEYS = ["model", "question", "input_prompt", "inserted"]
+SETTINGS = ("judge_endpoint", "judge_params", "judge_system_prompt", "rag_ground_truth")
 VERDICT_COLUMNS = ("score", "explanation", "score_num")
 
 
@@ -33,6 +35,7 @@ def judge_answers(
     results: DataFrame | None = None,
     excluded: Sequence[str] = EXCLUDED,
     scorer: Callable[[Column, Column], tuple[Column, Column]] = token_similarity,
+    similarity_factory: Callable[[], Client] | None = None,
     mode: str = "fail",
     parallelism: int | None = None,
     requests_per_second: float | None = None,
@@ -41,37 +44,37 @@ def judge_answers(
 
     ``answers`` is the stored log and ``settings`` the judge settings per model.
     With ``results`` only answers without a verdict are judged. Plain answers go
-    to the judge model, all others to the similarity scorer. Write the verdicts
-    before reading them: they hold model calls.
+    to the judge model, all others to the similarity scorer or, when given, to
+    the model of ``similarity_factory``. Write the verdicts before reading them:
+    they hold model calls.
     """
     columns = answers.columns
     pending = to_judge(answers, excluded)
     if results is not None:
         pending = not_yet_judged(pending, results, ANSWER_KEYS)
-    side = broadcast_if_small(
-        settings.select("model", "judge_endpoint", "judge_params", "judge_system_prompt", "rag_ground_truth")
-    )
-    routed = pending.join(side, "model", "left")
+    routed, no_settings = look_up(pending, settings.select("model", *SETTINGS), ["model"], mode)
+    kind = F.col("answer_type")
+    known = F.coalesce(kind.isin("normal", "rag", "function"), F.lit(False))
     if mode == "fail":
-        complaint = F.raise_error(F.concat(F.lit("answer type is neither rag nor function: "), F.col("answer_type")))
-        known = F.when(F.col("answer_type").isin("normal", "rag", "function"), F.lit(True)).otherwise(complaint.cast("boolean"))
-        routed = routed.where(known)
+        complaint = F.raise_error(F.concat(F.lit("answer type is neither rag nor function: "), kind))
+        routed = routed.where(F.when(known, F.lit(True)).otherwise(complaint.cast("boolean")))
 
     by_rubric, no_rubric = judge_by_rubric(
-        routed.where(F.col("answer_type") == "normal"),
-        rubrics,
-        client_factory,
-        mode,
-        parallelism,
-        requests_per_second,
+        routed.where(kind == "normal"), rubrics, client_factory, mode, parallelism, requests_per_second
     )
-    rag = routed.where(F.col("answer_type") == "rag").select(*columns, F.col("rag_ground_truth").alias("truth"))
-    function = tool_truths(routed.where(F.col("answer_type") == "function").select(*columns), observations, city)
-    by_similarity, _ = judge_by_similarity(rag.unionByName(function), scorer=scorer)
+    rag = routed.where(kind == "rag").withColumn("truth", F.col("rag_ground_truth"))
+    function = tool_truths(routed.where(kind == "function"), observations, city)
+    with_truth = rag.unionByName(function)
+    if similarity_factory is None:
+        by_similarity, _ = judge_by_similarity(with_truth, scorer=scorer)
+    else:
+        by_similarity = judge_by_graded_similarity(
+            with_truth, similarity_factory, parallelism=parallelism, requests_per_second=requests_per_second
+        )
     verdicts = by_rubric.select(*columns, *VERDICT_COLUMNS).unionByName(
         by_similarity.select(*columns, *VERDICT_COLUMNS)
     )
-    if mode != "quarantine":
+    if mode == "fail":
         return verdicts, None
-    unknown = routed.where(~F.coalesce(F.col("answer_type").isin("normal", "rag", "function"), F.lit(False)))
-    return verdicts, no_rubric.select(*columns).unionByName(unknown.select(*columns))
+    rejected = no_settings.unionByName(no_rubric.select(*columns)).unionByName(routed.where(~known).select(*columns))
+    return verdicts, rejected

@@ -81,9 +81,8 @@ def test_unknown_question_fails_the_job(spark, rubrics, settings, observations):
 
 def test_unknown_answer_type_fails_the_job(spark, rubrics, settings, observations):
     log = answers(spark, answer("q1", "x", "poem"))
-    verdicts, _ = judge_answers(log, settings, rubrics, observations, lambda: judge, "Oulu")
     with pytest.raises(Exception, match="neither rag nor function: poem"):
-        verdicts.collect()
+        judge_answers(log, settings, rubrics, observations, lambda: judge, "Oulu")[0].collect()
 
 
 def test_quarantine_keeps_what_cannot_be_judged(spark, rubrics, settings, observations):
@@ -93,6 +92,26 @@ def test_quarantine_keeps_what_cannot_be_judged(spark, rubrics, settings, observ
     assert sorted((r.question, r.answer_type) for r in rejected.collect()) == [("q1", "poem"), ("q9", "normal")]
 
 
+def test_model_without_settings(spark, rubrics, settings, observations):
+    log = answers(spark, answer("q1", "splendid"), answer("q1", "x", model="three"))
+    verdicts, rejected = judge_answers(log, settings, rubrics, observations, lambda: judge, "Oulu", mode="quarantine")
+    assert [r.model for r in verdicts.collect()] == ["one"] and [r.model for r in rejected.collect()] == ["three"]
+    with pytest.raises(Exception, match="no entry for .model. = three"):
+        judge_answers(log, settings, rubrics, observations, lambda: judge, "Oulu")[0].collect()
+
+
+def test_similarity_graded_by_a_model(spark, rubrics, settings, observations):
+    def grade(request):
+        assert "Truth:** 'the true words'" in request.user_text or f"Truth:** '{WEATHER}'" in request.user_text
+        return Reply(text="**Score:** 3\n**Explanation:** close")
+
+    log = answers(spark, answer("q_rag", "words", "rag"), answer("q_function", None, "function"))
+    verdicts, _ = judge_answers(
+        log, settings, rubrics, observations, lambda: judge, "Oulu", similarity_factory=lambda: grade
+    )
+    assert [(r.score, r.explanation) for r in verdicts.collect()] == [("3", "close")] * 2
+
+
 def test_only_new_answers(spark, rubrics, settings, observations):
     log = answers(spark, answer("q1", "splendid"), answer("q2", "dull"))
     verdicts, _ = judge_answers(log, settings, rubrics, observations, lambda: judge, "Oulu")
