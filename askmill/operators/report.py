@@ -115,9 +115,11 @@ def comparison(
 ) -> DataFrame:
     """All models side by side, two columns per model; models without results stay ''.
 
-    Of reruns the newest answer per model and question counts.
+    Of reruns the newest answer per model and question counts; of several at the
+    same time always the same one.
     """
     newest = list(newest_first) if newest_first else [F.col("inserted").desc()]
+    newest.append(F.xxhash64(*results.columns))
     current = latest_per_key(
         results.where(F.col("model").isin(list(models))), ["model", "question", "input_prompt"], newest
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from askmill.functions import chat
 from askmill.functions.text import render, words
-from askmill.functions.vectors import HashingEmbedder, squared_norm, word_bucket
+from askmill.functions.vectors import HashingEmbedder, vector_norm, word_bucket
 from askmill.operators.asof import latest_before
 from askmill.operators.chunks import chunk_documents, chunk_lengths
 from askmill.operators.clients import ExtractiveStub, LengthJudgeStub
@@ -109,13 +109,13 @@ def q_hash_embed_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = embed(chunks(spark, sf_dir), "text", EMBEDDER)
     return vectors.select(
         "id",
-        squared_norm(F.col("embedding")).cast("bigint").alias("sq_norm"),
+        F.round(F.col("norm") * F.col("norm")).cast("bigint").alias("sq_norm"),
         F.size(F.array_remove("embedding", F.lit(0.0).cast("float"))).alias("n_buckets"),
     )
 
 
 def q_knn_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").withColumn("norm", F.sqrt(squared_norm(F.col("embedding"))))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("norm", vector_norm(F.col("embedding")))
     index = spread(vectors.select(F.col("vec_id").alias("id"), "embedding", "norm"))
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", "norm")
     return nearest(queries, index, k=4).withColumn("sim", F.round("sim", 6))
@@ -358,7 +358,7 @@ def q_index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     publish_changes(chunk_changes(first, second, 2), feed)
     sync_index(spark, feed, index, checkpoint, EMBEDDER)
     return read_index(spark, index).select(
-        "id", "content_hash", squared_norm(F.col("embedding")).cast("bigint").alias("sq_norm")
+        "id", "content_hash", F.round(F.col("norm") * F.col("norm")).cast("bigint").alias("sq_norm")
     )
 
 

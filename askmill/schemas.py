@@ -18,6 +18,7 @@ VERDICTS = ANSWERS + ", score string, explanation string, score_num double"
 
 PARAMS = "struct<max_tokens:int,temperature:double>"
 
+# The field names of the configuration files.
 CONFIG = (
     "configs struct<model_name:string,vector_search_endpoint_name:string,embedding_endpoint:string,"
     f"endpoint:string,extra_params:{PARAMS},system_prompt:string,rag_prompt:string,"
@@ -30,6 +31,7 @@ CONFIG = (
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
+# The field names of tool calls and of weather reports.
 TOOL_CALLS = "array<struct<function:struct<name:string,arguments:string>>>"
 
 WEATHER = "struct<current_condition:array<struct<temp_C:string,weatherDesc:array<struct<value:string>>>>>"
