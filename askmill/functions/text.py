@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from string import Formatter
 
 from pyspark.sql import Column
@@ -62,10 +62,14 @@ def render(template: str, slots: Mapping[str, Column]) -> Column:
     return F.concat(*pieces) if pieces else F.lit("")
 
 
-def render_each(template: Column, slots: Mapping[str, Column]) -> Column:
-    """Fill slots of a template that differs by row, again in a single pass."""
-    names = "|".join(slots)
-    pieces = F.split(template, rf"(?=\{{(?:{names})\}})|(?<=\{{(?:{names})\}})")
+def template_pieces(template: Column, names: Iterable[str]) -> Column:
+    """A template that is a column, cut into literal pieces and ``{name}`` slots."""
+    slot = rf"\{{(?:{'|'.join(names)})\}}"
+    return F.split(template, f"(?={slot})|(?<={slot})")
+
+
+def fill_pieces(pieces: Column, slots: Mapping[str, Column]) -> Column:
+    """Put values into the slots of :func:`template_pieces`, in a single pass."""
 
     def fill(piece: Column) -> Column:
         chain = F
@@ -76,6 +80,11 @@ def render_each(template: Column, slots: Mapping[str, Column]) -> Column:
     return F.array_join(F.transform(pieces, fill), "")
 
 
+def render_each(template: Column, slots: Mapping[str, Column]) -> Column:
+    """Fill slots of a template that differs by row."""
+    return fill_pieces(template_pieces(template, slots), slots)
+
+
 def relabel(question: Column, names: Mapping[str, str]) -> Column:
     """Replace listed question keys by a display name."""
     if not names:

@@ -13,10 +13,11 @@ BROADCAST_BYTES = 32 << 20
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast after measuring it; leave the choice to the optimizer otherwise.
 
-    The measurement stops after ``rows`` rows, so it is cheap for large tables too.
+    The measurement is a plain count, so a table that turns out large costs one
+    scan in which every task hands on a single row.
     """
     row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(row_bytes).alias("size")).first()
+    seen = df.agg(F.count("*").alias("n"), F.sum(row_bytes).alias("size")).first()
     return F.broadcast(df) if seen["n"] <= rows and (seen["size"] or 0) <= size else df
 
 

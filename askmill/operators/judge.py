@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from askmill import schemas
 from askmill.functions.chat import messages, messages_json, weather_sentence
 from askmill.functions.numbers import score_number
-from askmill.functions.text import render, render_each
+from askmill.functions.text import fill_pieces, render, template_pieces
 from askmill.functions.vectors import text_cosine
 from askmill.functions.verdict import verdict_explanation, verdict_score
 from askmill.operators.asof import latest_before
@@ -48,11 +48,11 @@ def to_judge(answers: DataFrame, excluded: Sequence[str] = EXCLUDED) -> DataFram
 
 def rubric_prompts(answers: DataFrame, rubrics: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame | None]:
     """Add ``judge_prompt``; answers whose question has no rubric are errors."""
-    known, rejected = look_up(answers, rubrics, ["question"], mode)
-    prompt = render_each(
-        F.col("rubric_template"), {"question": F.col("input_prompt"), "answer": F.col("ai_output")}
-    )
-    return known.withColumn("judge_prompt", prompt).drop("rubric_template"), rejected
+    slots = {"question": F.col("input_prompt"), "answer": F.col("ai_output")}
+    # Templates are cut once per rubric, before the join repeats them per answer.
+    cut = rubrics.select("question", template_pieces(F.col("rubric_template"), slots).alias("_pieces"))
+    known, rejected = look_up(answers, cut, ["question"], mode)
+    return known.withColumn("judge_prompt", fill_pieces(F.col("_pieces"), slots)).drop("_pieces"), rejected
 
 
 def with_verdict(replies: DataFrame, text: str) -> DataFrame:

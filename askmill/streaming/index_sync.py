@@ -53,7 +53,8 @@ def _versions(spark: SparkSession, index: str) -> DataFrame:
     files, target = _folder(spark, index)
     if files.exists(target):
         return spark.read.schema(VERSIONS).parquet(index)
-    return spark.createDataFrame([], VERSIONS)
+    # A constant filter tells the optimizer that this is empty, so joins with it vanish.
+    return spark.createDataFrame([], VERSIONS).where(F.lit(False))
 
 
 def _newest(spark: SparkSession, index: str) -> DataFrame:
