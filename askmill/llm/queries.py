@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import byte_bpe, packing, token_files
+from askmill.llm import byte_bpe, minhash, packing, quality, token_files, toxicity
 from askmill.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows that no model may learn labels from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out())
+    scored = toxicity.with_score(docs, toxicity.fit(docs, labels)).drop("text")
+    predicted = (F.col("score") >= toxicity.TOXIC).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = byte_bpe.load_tokenizer(public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,8 +57,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    judged = quality.judge_documents(docs, host="source", keep_text=False)
+    return judged.select("doc_id", *quality.RULE_COLUMNS, "kept")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_minhash": op5_minhash,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_host_quality": op10_host_quality,
 }
