@@ -18,8 +18,8 @@ import re
 
 import numpy as np
 
-#: Words remembered by a Python worker; beyond it the memory starts anew.
-WORDS = 300_000
+#: Pieces remembered by a Python worker.
+WORDS = 1_000_000
 _PLAIN_CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?"
 _loaded: dict[tuple, PieceEncoder] = {}
@@ -79,11 +79,20 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class _Memory(dict):
-    def __init__(self, find) -> None:
-        self.find = find
+    """Ids by piece. When it is full, the pieces met since the last time stay one round longer."""
+
+    def __init__(self, find, size: int) -> None:
+        self.find, self.size, self.before = find, size, {}
 
     def __missing__(self, key: str) -> bytes:
-        return self.find(key)
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.find(key)
+        if len(self) >= self.size:
+            self.before = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -94,9 +103,12 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_content)
         self.tokenizer.encode_special_tokens = True
-        self.words = words
-        self.spaced = _Memory(self._spaced)
-        self.bare = _Memory(self._bare)
+        # For a piece that the pattern leaves whole, in byte characters already.
+        self.single = Tokenizer.from_str(json.dumps({**json.loads(tokenizer_content), "pre_tokenizer": None}))
+        character = byte_characters()
+        self.space, self.shown = character[32], {b: character[b] for b in range(256)}
+        self.spaced = _Memory(self._spaced, words // 2)
+        self.bare = _Memory(self._bare, words // 8)
 
     @classmethod
     def of(cls, tokenizer_content: str, words: int = WORDS) -> PieceEncoder:
@@ -109,12 +121,10 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _keep(self, memory: _Memory, key: str, ids: bytes) -> bytes:
-        if len(self.spaced) + len(self.bare) >= self.words:
-            self.spaced.clear()
-            self.bare.clear()
-        memory[key] = ids
-        return ids
+    def _word(self, word: str, before: str) -> bytes:
+        """The ids of Latin letters after an optional space: one piece of the pattern."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return np.asarray(self.single.encode(before + shown, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _parts(self, memory: _Memory, piece: str) -> bytes | None:
         """The ids of ``piece`` from its parts, where it has a safe cut."""
@@ -127,14 +137,18 @@ class PieceEncoder:
         return None
 
     def _spaced(self, piece: str) -> bytes:
+        if piece.isalpha() and max(piece) < "ɐ":
+            return self._word(piece, self.space)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _OddSpace
         parts = self._parts(self.spaced, piece)
-        return self._keep(self.spaced, piece, self.whole(" " + piece)) if parts is None else parts
+        return self.whole(" " + piece) if parts is None else parts
 
     def _bare(self, piece: str) -> bytes:
+        if piece.isalpha() and max(piece) < "ɐ":
+            return self._word(piece, "")
         parts = self._parts(self.bare, piece)
-        return self._keep(self.bare, piece, self.whole(piece)) if parts is None else parts
+        return self.whole(piece) if parts is None else parts
 
     def encode(self, text: str | None) -> bytes:
         if not text:
