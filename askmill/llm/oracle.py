@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from askmill.llm.licenses import RULES, SENTENCES, normal
+
 #: Documents with their words; a null text has none.
 _WORDS = r"""
 WITH d AS (
@@ -17,6 +19,31 @@ reach(node, least) AS (
   SELECT l.b, r.least FROM reach r JOIN linked l ON l.a = r.node),
 component AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)"""
 
+
+
+def _licence_sql() -> str:
+    known = "MAP {" + ", ".join(f"'{normal(s)}': '{name}'" for name, s in SENTENCES.items()) + "}"
+    whens = " ".join(f"WHEN contains(ids, ',{','.join(ids)},') THEN '{name}'" for name, ids in RULES)
+
+    def read(text: str) -> str:
+        lowered = "translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        key = f"trim(regexp_replace({lowered}, '[^a-z0-9.]+', ' ', 'g'), ' .')"
+        cut = f"string_split(regexp_replace({text}, '([.!?;])[ \\t\\r]+', '\\1\n', 'g'), chr(10))"
+        return f"list_filter(list_transform({cut}, lambda s: known[{key}]), lambda x: x IS NOT NULL)"
+
+    return f"""
+WITH k AS (SELECT {known} AS known),
+r AS (
+  SELECT doc_id, {read("coalesce(text, '')")} AS lines,
+         {read("regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')")} AS wrapped
+  FROM documents, k),
+c AS (SELECT doc_id, CASE WHEN len(wrapped) > len(lines) THEN wrapped ELSE lines END AS found FROM r),
+i AS (SELECT doc_id, array_to_string(found, ',') AS sentence_ids, len(found)::BIGINT AS n_known FROM c)
+SELECT doc_id, sentence_ids, n_known, CASE {whens} END AS licence
+FROM (SELECT *, ',' || sentence_ids || ',' AS ids FROM i)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op5_minhash": rf"""
 WITH RECURSIVE d AS (
@@ -76,4 +103,20 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        NOT base_failed AND coalesce((h.k + u.mean * u.weight) / (h.n + u.weight) <= 0.5, true) AS kept
 FROM f CROSS JOIN u LEFT JOIN h ON h.source = f.source
 """,
+    "op6_collision_counting": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.e) = len(q.e)
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.93),
+{_COMPONENTS.format(node="vec_id", nodes="embeddings")},
+n AS (SELECT a AS vec_id, count(*) AS n FROM (SELECT a FROM links UNION ALL SELECT b FROM links) GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN component c ON c.node = v.vec_id LEFT JOIN n ON n.vec_id = v.vec_id
+""",
+    "op7_licence_sentences": _licence_sql(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import byte_bpe, minhash, packing, quality, token_files, toxicity
+from askmill.llm import byte_bpe, embedding_dedup, licenses, minhash, packing, quality, sharding, token_files, toxicity, url_filter
 from askmill.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,10 +31,61 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host and path rules of the URL query, and the names its small labelled table is made of.
+URL_RULES = [
+    url_filter.parse_rule(*rule)
+    for rule in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+]
+BAD_NAMES = (
+    "spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x", "win-casino", "pills-cheap", "bets-free", "track-ads",
+    "spam-mail", "mail-spam", "poker-win", "adult-cam", "cheap-watches", "free-casino", "casino-bets", "link-farm", "xxx-adult", "pills-online",
+)
+GOOD_NAMES = (
+    "library", "weather", "garden", "school", "news", "river", "history", "recipes", "museum", "travel", "thering", "onthere", "tionand",
+    "theren", "street", "council", "music", "science", "theory", "letters", "stones", "hospital", "harbour", "archive", "notes", "ther",
+    "ththe", "tion", "forest", "bakery",
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit_urls(url_filter.labelled_urls(spark, BAD_NAMES, GOOD_NAMES))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, model).drop("url")
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        (F.octet_length(text).cast("bigint") + 16).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    cells = [
+        sharding.by_name(F.col("lang")),
+        sharding.by_name(F.col("source")),
+        sharding.by_magnitude(F.col("n_chars")),
+        sharding.by_magnitude(F.col("size")),
+    ]
+    sharded = sharding.assign_shards(rows, cells, shards=40)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op7_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_licence(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn labels from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
@@ -66,7 +117,11 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_url_filter": op3_url_filter,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op5_minhash": op5_minhash,
+    "op6_collision_counting": op6_collision_counting,
+    "op7_licence_sentences": op7_licence_sentences,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_host_quality": op10_host_quality,
