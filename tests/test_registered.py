@@ -8,9 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from askmill.plans.oracle import ORACLE
+from askmill.plans.registered import QUERIES as OWN
 from conftest import SF
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in OWN}
 
 
 @pytest.fixture(scope="module")
