@@ -4,9 +4,10 @@ A text is cut into sentences, each is normalised, and a known one is replaced by
 its identifier. The sequence of identifiers is matched against ordered rules: a
 rule names a licence and the identifiers that must follow each other.
 
-Sentences end at a line break or at ``.``, ``!``, ``?`` or ``;`` before a blank.
-Texts that wrap their lines are read a second time with breaks as blanks; the
-reading that knows more sentences counts, the first one if both know as many.
+Sentences end at a line break or at ``.``, ``!``, ``?``, ``;`` or ``:`` before a
+blank. Texts that wrap their lines are read a second time, with ends at empty
+lines only and other breaks as blanks; the reading that knows more sentences
+counts, the first one if both know as many.
 
 A null or empty text has no licence. Repeated rows and null ids stay. An empty
 table gives an empty table. Texts are read whole. Other columns stay, except
@@ -31,8 +32,9 @@ SENTENCES: dict[str, str] = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
     ' documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights'
     " to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to"
-    " whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this"
-    " permission notice shall be included in all copies or substantial portions of the Software.",
+    " whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-keep": "The above copyright notice and this permission notice shall be included in all copies or substantial portions"
+    " of the Software.",
     "mit-warranty": 'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited'
     " to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
@@ -59,7 +61,7 @@ SENTENCES: dict[str, str] = {
 
 #: Rules in order, the first that matches names the licence.
 RULES: list[tuple[str, tuple[str, ...]]] = [
-    ("MIT", ("mit-grant", "mit-warranty")),
+    ("MIT", ("mit-grant", "mit-keep", "mit-warranty")),
     ("Apache-2.0", ("apache-grant", "apache-comply")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
@@ -95,9 +97,15 @@ def _normal(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(lowered, "[^a-z0-9.]+", " "), F.lit(" ."))
 
 
+def _unwrapped(text: Column) -> Column:
+    """Line breaks as blanks, and empty lines as line breaks."""
+    marked = F.regexp_replace(text, "\n[ \t\r]*\n", "\x01")
+    return F.translate(F.regexp_replace(marked, "[\r\n]+", " "), "\x01", "\n")
+
+
 def _known(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    marked = F.regexp_replace(text, "([.!?;])[ \t\r]+", "$1\n")
+    marked = F.regexp_replace(text, "([.!?;:])[ \t\r]+", "$1\n")
     cut = F.filter(F.split(marked, "\n"), lambda s: F.length(s) > 0)
     table = F.create_map(*[F.lit(v) for name, s in sentences.items() for v in (normal(s), name)])
     return F.filter(F.transform(cut, lambda s: F.element_at(table, _normal(s))), lambda name: name.isNotNull())
@@ -116,7 +124,7 @@ def with_licence(
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     passed = [F.col(f"`{c}`") for c in df.columns if c not in _OUT]
     both = F.struct(
-        _known(body, sentences).alias("lines"), _known(F.regexp_replace(body, "[\r\n]+", " "), sentences).alias("wrapped")
+        _known(body, sentences).alias("lines"), _known(_unwrapped(body), sentences).alias("wrapped")
     )
     chosen = F.transform(
         F.array(both), lambda b: F.when(F.size(b["wrapped"]) > F.size(b["lines"]), b["wrapped"]).otherwise(b["lines"])

@@ -28,14 +28,16 @@ def _licence_sql() -> str:
     def read(text: str) -> str:
         lowered = "translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
         key = f"trim(regexp_replace({lowered}, '[^a-z0-9.]+', ' ', 'g'), ' .')"
-        cut = f"string_split(regexp_replace({text}, '([.!?;])[ \\t\\r]+', '\\1\n', 'g'), chr(10))"
+        cut = f"string_split(regexp_replace({text}, '([.!?;:])[ \\t\\r]+', '\\1\n', 'g'), chr(10))"
         return f"list_filter(list_transform({cut}, lambda s: known[{key}]), lambda x: x IS NOT NULL)"
 
+    marked = "regexp_replace(coalesce(text, ''), '\\n[ \\t\\r]*\\n', chr(1), 'g')"
+    unwrapped = f"translate(regexp_replace({marked}, '[\\r\\n]+', ' ', 'g'), chr(1), chr(10))"
     return f"""
 WITH k AS (SELECT {known} AS known),
 r AS (
   SELECT doc_id, {read("coalesce(text, '')")} AS lines,
-         {read("regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')")} AS wrapped
+         {read(unwrapped)} AS wrapped
   FROM documents, k),
 c AS (SELECT doc_id, CASE WHEN len(wrapped) > len(lines) THEN wrapped ELSE lines END AS found FROM r),
 i AS (SELECT doc_id, array_to_string(found, ',') AS sentence_ids, len(found)::BIGINT AS n_known FROM c)
