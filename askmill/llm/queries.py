@@ -102,7 +102,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = byte_bpe.load_tokenizer(public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = byte_bpe.decode(byte_bpe.encode(docs, tokenizer).select("doc_id", "n_tokens", "ids"), tokenizer)
+    # Stored between the two, so that only one of them holds memory in a task.
+    path = scratch_path(spark, "encoded")
+    encoded = byte_bpe.encode(docs, tokenizer).select("doc_id", "n_tokens", "ids")
+    encoded.write.option("compression", "zstd").parquet(path)
+    read = byte_bpe.decode(spark.read.schema(encoded.schema).parquet(path), tokenizer)
     return read.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
