@@ -63,16 +63,15 @@ def render(template: str, slots: Mapping[str, Column]) -> Column:
 
 
 def template_pieces(template: Column, names: Iterable[str]) -> Column:
-    """A template that is a column, cut into literal pieces and ``{name}`` slots."""
-    slot = rf"\{{(?:{'|'.join(names)})\}}"
-    return F.split(template, f"(?={slot})|(?<={slot})")
+    """A template that is a column, cut from left to right into doubled braces, ``{name}`` slots and literals."""
+    return F.regexp_extract_all(template, F.lit(rf"\{{\{{|\}}\}}|\{{(?:{'|'.join(names)})\}}|[^{{}}]+|[{{}}]"), F.lit(0))
 
 
 def fill_pieces(pieces: Column, slots: Mapping[str, Column]) -> Column:
-    """Put values into the slots of :func:`template_pieces`, in a single pass."""
+    """Put values into the slots of :func:`template_pieces`, in a single pass; doubled braces are braces."""
 
     def fill(piece: Column) -> Column:
-        chain = F
+        chain = F.when(piece == "{{", "{").when(piece == "}}", "}")
         for name, value in slots.items():
             chain = chain.when(piece == "{" + name + "}", F.coalesce(value.cast("string"), F.lit("")))
         return chain.otherwise(piece)
@@ -81,7 +80,7 @@ def fill_pieces(pieces: Column, slots: Mapping[str, Column]) -> Column:
 
 
 def render_each(template: Column, slots: Mapping[str, Column]) -> Column:
-    """Fill slots of a template that differs by row."""
+    """Fill slots of a template that differs by row, by the rules of :func:`render`; a brace that opens no slot stays."""
     return fill_pieces(template_pieces(template, slots), slots)
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The marks a judge is told to write.
-SCORE_PATTERN = r"\*\*Score:\*\*\s*(\d+)"
+# ``(?U)``: blanks and digits of all scripts count; the four separator controls are
+# blanks to a judge's tools but not to Java.
+SCORE_PATTERN = r"(?U)\*\*Score:\*\*[\s\x1c-\x1f]*(\d+)"
 # ``(?d)``: only a line feed ends a line, not a carriage return.
-EXPLANATION_PATTERN = r"(?d)\*\*Explanation:\*\*\s*(.*)"
+EXPLANATION_PATTERN = r"(?dU)\*\*Explanation:\*\*[\s\x1c-\x1f]*(.*)"
 
 
 def _first_group(text: Column, pattern: str) -> Column:

@@ -7,6 +7,7 @@ real model.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable
@@ -63,6 +64,20 @@ class ExtractiveStub:
         return Reply(text=" ".join(text.split()[: self.n_words]))
 
 
+@dataclass(frozen=True)
+class EchoStub(ExtractiveStub):
+    """Answers with all words of the request, their number and the checksum of its text."""
+
+    def __call__(self, request: Request) -> Reply:
+        reply = super().__call__(request)
+        if reply.tool_calls or request.tools:
+            return reply
+        text = request.user_text
+        words = text.split()
+        checksum = hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
+        return Reply(text=f"{' '.join(words)} ({len(words)} words, {checksum})")
+
+
 @dataclass(frozen=True)
 class LengthJudgeStub:
     """Scores by the length of the request, in the form a judge is told to use."""

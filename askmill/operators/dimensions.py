@@ -22,20 +22,25 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
 
 
 def look_up(facts: DataFrame, dimension: DataFrame, keys: list[str], mode: str = "fail") -> tuple[DataFrame, DataFrame | None]:
-    """Join each fact with its one dimension row; facts without one are errors.
+    """Join each fact with its one dimension row; facts with none or with several are errors.
 
     ``mode='fail'`` raises while the job runs. ``mode='quarantine'`` returns the
     rejected facts as a second DataFrame.
     """
-    side = broadcast_if_small(dimension).withColumn("_known", F.lit(True))
-    joined = facts.join(side, keys, "left")
+    others = [c for c in dimension.columns if c not in keys]
+    single = dimension.groupBy(*keys).agg(
+        F.count("*").alias("_entries"), *[F.first(F.col(f"`{c}`")).alias(c) for c in others]
+    )
+    side = broadcast_if_small(single)
+    joined = facts.join(side, keys, "left").withColumn("_known", F.col("_entries") == 1)
     if mode == "quarantine":
-        rejected = joined.where(F.col("_known").isNull()).select(*facts.columns)
-        return joined.where(F.col("_known")).drop("_known"), rejected
+        rejected = joined.where(~F.coalesce("_known", F.lit(False))).select(*facts.columns)
+        return joined.where(F.col("_known")).drop("_known", "_entries"), rejected
     if mode != "fail":
         raise ValueError(f"mode is 'fail' or 'quarantine', not {mode!r}")
     shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
-    message = F.concat(F.lit(f"no entry for ({', '.join(keys)}) = "), shown)
+    found = F.when(F.col("_entries") > 1, F.lit("several entries")).otherwise(F.lit("no entry"))
+    message = F.concat(found, F.lit(f" for ({', '.join(keys)}) = "), shown)
     # The check is part of the filter, so it cannot be pruned away.
     checked = joined.where(F.when(F.col("_known"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    return checked.drop("_known"), None
+    return checked.drop("_known", "_entries"), None

@@ -84,13 +84,12 @@ def generate(
 
     ``request`` holds the messages as JSON; ``params``, ``tools`` and
     ``endpoint`` are used when present. A call that raises gives a NULL answer
-    and the name of the exception. ``parallelism`` spreads the rows evenly over
-    that many tasks. ``requests_per_second`` is a ceiling over all tasks: each
-    paces itself at its share. Calls are side effects: write the result before
-    reading it more than once.
+    and the name of the exception. The rows are spread evenly over ``parallelism``
+    tasks, by default as many as the cluster has cores. ``requests_per_second``
+    is a ceiling over all tasks: each paces itself at its share. Calls are side
+    effects: write the result before reading it more than once.
     """
-    if requests_per_second and not parallelism:
-        parallelism = requests.sparkSession.sparkContext.defaultParallelism
-    spread = requests.repartition(parallelism) if parallelism else requests
+    parallelism = parallelism or requests.sparkSession.sparkContext.defaultParallelism
+    spread = requests.repartition(parallelism)
     pause = parallelism / requests_per_second if requests_per_second else 0.0
     return spread.mapInArrow(_Caller(client_factory, pause), T.StructType(requests.schema.fields + _ADDED.fields))

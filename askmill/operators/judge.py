@@ -15,25 +15,25 @@ from askmill.functions.vectors import text_cosine
 from askmill.functions.verdict import verdict_explanation, verdict_score
 from askmill.operators.asof import latest_before
 from askmill.operators.clients import Client
-from askmill.operators.dimensions import look_up
+from askmill.operators.dimensions import broadcast_if_small, look_up
 from askmill.operators.generate import generate
 
 # The introduction is never judged; what a judge may write.
 EXCLUDED = ("q0",)
 JUDGE_PARAMS = {"max_tokens": 250, "temperature": 0.1}
 SCORES = (1, 2, 3, 4, 5)
+# The two marks that a verdict is read by.
+REPLY_FORM = "Write two lines and nothing else:\n**Score:** <mark>\n**Explanation:** <why>\n"
 
 
-def rubric_template(persona: str, levels: Sequence[str], subject: str = "Answer Correctness") -> str:
+def rubric_template(persona: str, levels: Sequence[str], subject: str = "accuracy") -> str:
     """A rubric with slots ``{question}`` and ``{answer}``: who judges, what each score means."""
     if len(levels) != len(SCORES):
         raise ValueError(f"a rubric describes {len(SCORES)} scores, got {len(levels)}")
-    scale = "\n".join(f"- **Score {score}:** {level}" for score, level in zip(SCORES, levels))
+    scale = "\n".join(f"{score} means: {level}" for score, level in zip(SCORES, levels))
     return (
-        f"You are {persona}. Judge on a scale from {SCORES[0]} to {SCORES[-1]}.\n\n"
-        f"### Evaluation Criteria:\n\n**{subject}:**\n\n{scale}\n\n"
-        "**Original Question:** '{question}'\n**Given Answer to be Evaluated:** '{answer}'\n\n"
-        "### OUTPUT FORMAT:\n\n**Score:** _\n**Explanation:** _\n"
+        f"Read as {persona} and give the answer below a mark for its {subject}.\n\n{scale}\n\n"
+        "Asked: {question}\nReplied: {answer}\n\n" + REPLY_FORM
     )
 
 
@@ -43,7 +43,8 @@ def rubrics_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFram
 
 
 def to_judge(answers: DataFrame, excluded: Sequence[str] = EXCLUDED) -> DataFrame:
-    return answers.where(~F.col("question").isin(list(excluded))) if excluded else answers
+    """Answers of all questions but the excluded ones; an answer without a question stays."""
+    return answers.where(F.coalesce(~F.col("question").isin(list(excluded)), F.lit(True))) if excluded else answers
 
 
 def rubric_prompts(answers: DataFrame, rubrics: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame | None]:
@@ -69,13 +70,14 @@ def _ask_judge(
     client_factory: Callable[[], Client],
     parallelism: int | None,
     requests_per_second: float | None,
+    endpoint: str = "judge_endpoint",
 ) -> DataFrame:
-    """Send ``judge_prompt`` to the judge model and read its verdict; keeps ``columns``."""
+    """Send ``judge_prompt`` to the model at ``endpoint`` and read its verdict; keeps ``columns``."""
     requests = prompts.select(
         F.struct(*[F.col(c) for c in columns]).alias("answer"),
         messages_json(messages(F.col("judge_system_prompt"), F.col("judge_prompt"))).alias("request"),
         F.col("judge_params").alias("params"),
-        F.col("judge_endpoint").alias("endpoint"),
+        F.col(endpoint).alias("endpoint"),
     )
     replies = generate(requests, client_factory, parallelism, requests_per_second)
     verdicts = with_verdict(replies.select("answer", F.col("ai_output").alias("reply")), "reply")
@@ -96,9 +98,8 @@ def judge_by_rubric(
 
 
 SIMILARITY_TEMPLATE = (
-    "Compare an answer with the truth. Judge how alike they are in meaning, on a scale from 1 to 5.\n\n"
-    "**Original Question:** '{question}'\n**Given Answer to be Evaluated:** '{answer}'\n**Truth:** '{truth}'\n\n"
-    "### OUTPUT FORMAT:\n\n**Score:** _\n**Explanation:** _\n"
+    "Mark from 1 to 5 how far the reply says the same as the reference.\n\n"
+    "Asked: {question}\nReplied: {answer}\nReference: {truth}\n\n" + REPLY_FORM
 )
 
 
@@ -109,11 +110,12 @@ def judge_by_graded_similarity(
     parallelism: int | None = None,
     requests_per_second: float | None = None,
 ) -> DataFrame:
-    """Similarity to the column ``truth`` as graded by a judge model."""
+    """Similarity to the column ``truth`` as graded by the model at ``similarity_endpoint``, if answers carry one."""
     slots = {"question": F.col("input_prompt"), "answer": F.col("ai_output"), "truth": F.col("truth")}
     prompts = answers.withColumn("judge_prompt", render(template, slots))
     columns = [c for c in answers.columns if c != "truth"]
-    return _ask_judge(prompts, columns, client_factory, parallelism, requests_per_second)
+    endpoint = "similarity_endpoint" if "similarity_endpoint" in answers.columns else "judge_endpoint"
+    return _ask_judge(prompts, columns, client_factory, parallelism, requests_per_second, endpoint)
 
 
 def cosine_score(cosine: Column) -> Column:
@@ -134,13 +136,12 @@ def token_similarity(output: Column, truth: Column) -> tuple[Column, Column]:
 
 def tool_truths(answers: DataFrame, observations: DataFrame, city: str) -> DataFrame:
     """Truth of tool answers: the weather in ``city`` when the answer was logged."""
-    asked = answers.withColumns({"_city": F.lit(city), "_asked": F.col("inserted")})
-    found = latest_before(
-        asked, observations.withColumnRenamed("city", "_city"), "_city", "_asked", "observed_at", "payload_json"
-    )
-    return found.withColumn("truth", weather_sentence(F.col("_city"), F.col("payload_json"))).drop(
-        "_city", "_asked", "payload_json"
-    )
+    times = answers.select(F.col("inserted").alias("_asked")).distinct().withColumn("_city", F.lit(city))
+    seen = observations.where(F.col("city") == city).withColumnRenamed("city", "_city")
+    found = latest_before(times, seen, "_city", "_asked", "observed_at", "payload_json")
+    truths = found.select("_asked", weather_sentence(F.col("_city"), F.col("payload_json")).alias("truth"))
+    # One row a batch of answers, as all rows of a batch carry its time.
+    return answers.join(broadcast_if_small(truths), F.col("inserted").eqNullSafe(F.col("_asked")), "left").drop("_asked")
 
 
 def judge_by_similarity(

@@ -17,5 +17,7 @@ def latest_per_key(log: DataFrame, keys: list[str], newest_first: list[Column])
 
 
 def not_yet_judged(answers: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """Answers without a verdict; only the key columns of the results are read."""
-    return answers.join(results.select(*keys), keys, "left_anti")
+    """Answers without a verdict; only the key columns of the results are read. A NULL key equals a NULL key."""
+    judged = results.select(*[F.col(k).alias(f"_judged_{k}") for k in keys])
+    same = [answers[k].eqNullSafe(judged[f"_judged_{k}"]) for k in keys]
+    return answers.join(judged, same, "left_anti")

@@ -39,7 +39,8 @@ def averages(
     score, seconds = score_number(F.col("score")), F.col("time_s").cast("double")
     if truncate:
         score, seconds = score.cast("int"), seconds.cast("int")
-    kept = results.where(~F.col("question").isin(list(exclude))) if exclude else results
+    left_out = F.coalesce(F.col("question").isin(list(exclude)), F.lit(False))
+    kept = results.where(~left_out) if exclude else results
     return kept.groupBy(*by).agg(
         mean_text(score).alias("avg_score"),
         mean_text(seconds, "s").alias("avg_speed"),

@@ -55,7 +55,7 @@ def weather_tool(observations: DataFrame) -> ToolSpec:
             "payload_json"
         )
 
-    return ToolSpec("get_weather", "Get weather for a chosen city", "city", "City to be used", enrich)
+    return ToolSpec("get_weather", "Latest observed weather of one place", "city", "Name of the place", enrich)
 
 
 def resolve_tool_calls(replies: DataFrame, tools: list[ToolSpec]) -> DataFrame:

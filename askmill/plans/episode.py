@@ -66,8 +66,13 @@ def create_verdicts(
     incremental: bool = False,
     parallelism: int | None = None,
     requests_per_second: float | None = None,
+    similarity_factory: Callable[[], Client] | None = None,
 ) -> None:
-    """Append verdicts; ``incremental`` leaves out answers that have one."""
+    """Append verdicts; ``incremental`` leaves out answers that have one.
+
+    With ``similarity_factory`` a model grades how far answers agree with their
+    truths, else the words they share decide.
+    """
     judged = spark.catalog.tableExists(names.results)
     verdicts, _ = judge_answers(
         spark.read.table(names.answers),
@@ -77,6 +82,7 @@ def create_verdicts(
         judge_factory,
         city,
         results=spark.read.table(names.results) if incremental and judged else None,
+        similarity_factory=similarity_factory,
         parallelism=parallelism,
         requests_per_second=requests_per_second,
     )
@@ -96,9 +102,14 @@ def run_episode(
     city: str,
     embedder=None,
     single_document: bool = False,
+    similarity_factory: Callable[[], Client] | None = None,
+    parallelism: int | None = None,
+    requests_per_second: float | None = None,
 ) -> DataFrame:
     """All phases for all configs at once; returns the report.
 
+    ``parallelism`` and ``requests_per_second`` hold for answers and verdicts.
+
     Each phase reads the table the one before it wrote, so a run that stops can
     go on from its last table by calling the remaining phases.
     """
@@ -106,6 +117,9 @@ def run_episode(
     check_targets(spark, names)
     create_chunks(spark, names, documents, single_document)
     create_index(spark, names, embedder)
-    create_answers(spark, names, configs, observations, client_factory, embedder)
-    create_verdicts(spark, names, configs, rubrics, observations, judge_factory, city)
+    paced = {"parallelism": parallelism, "requests_per_second": requests_per_second}
+    create_answers(spark, names, configs, observations, client_factory, embedder, **paced)
+    create_verdicts(
+        spark, names, configs, rubrics, observations, judge_factory, city, similarity_factory=similarity_factory, **paced
+    )
     return comparison(spark.read.table(names.results), models)

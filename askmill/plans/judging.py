@@ -22,6 +22,8 @@ from askmill.operators.latest import not_yet_judged
 
 ANSWER_KEYS = ["model", "question", "input_prompt", "inserted"]
 SETTINGS = ("judge_endpoint", "judge_params", "judge_system_prompt", "rag_ground_truth")
+# Asked for graded similarity, where the settings name it.
+OPTIONAL_SETTINGS = ("similarity_endpoint",)
 VERDICT_COLUMNS = ("score", "explanation", "score_num")
 
 
@@ -52,7 +54,8 @@ def judge_answers(
     pending = to_judge(answers, excluded)
     if results is not None:
         pending = not_yet_judged(pending, results, ANSWER_KEYS)
-    routed, no_settings = look_up(pending, settings.select("model", *SETTINGS), ["model"], mode)
+    optional = [c for c in OPTIONAL_SETTINGS if c in settings.columns]
+    routed, no_settings = look_up(pending, settings.select("model", *SETTINGS, *optional), ["model"], mode)
     kind = F.col("answer_type")
     known = F.coalesce(kind.isin("normal", "rag", "function"), F.lit(False))
     if mode == "fail":

@@ -16,7 +16,8 @@ def _rendered(template: str, slots: dict[str, str]) -> str:
     for name in slots:
         slot = "{" + name + "}"
         parts = [p for part in parts for p in _around(part, slot)]
-    return " || ".join(slots[p[1:-1]] if p[1:-1] in slots and p[0] == "{" else _text(p) for p in parts if p)
+    literals = (p.replace("{{", "{").replace("}}", "}") for p in parts)
+    return " || ".join(slots[p[1:-1]] if p[1:-1] in slots and p[0] == "{" else _text(q) for p, q in zip(parts, literals) if p)
 
 
 def _around(part: str, slot: str) -> list[str]:
@@ -30,6 +31,10 @@ def _words(text: str) -> str:
     return rf"list_filter(string_split_regex({text}, '\s+'), lambda w: w <> '')"
 
 
+def _echo(text: str) -> str:
+    return f"array_to_string({_words(text)}, ' ') || ' (' || len({_words(text)}) || ' words, ' || md5({text}) || ')'"
+
+
 _HASHED = "lambda w: ('0x' || substr(md5(w), 1, 8))::bigint % 256"
 
 
@@ -95,18 +100,27 @@ log AS (
          ts AS inserted
   FROM events)"""
 
-_NUMBER = "CASE WHEN score IN ('None', 'nan') THEN NULL ELSE score::double END"
+_UNEVEN = _LOG.replace("log AS", "even AS", 1) + """,
+log AS (
+  SELECT * REPLACE (CASE WHEN event_id % 17 > 0 THEN question END AS question,
+                    CASE WHEN event_id % 19 = 0 THEN 'inf' ELSE score END AS score) FROM even)"""
+
+_NUMBER = "CASE WHEN score IN ('None', 'nan', 'inf') THEN NULL ELSE score::double END"
 
 _REPLY = """CASE conv_id % 4
     WHEN 0 THEN '**Score:** ' || (turn % 5 + 1) || chr(10) || '**Explanation:** ' || ai_output
-    WHEN 1 THEN '**Score:**' || (turn % 5 + 1) || '/5'
+    WHEN 1 THEN CASE turn % 3
+      WHEN 0 THEN '**Score:**' || chr(160) || translate((turn % 5 + 1)::varchar, '12345', '١٢٣٤٥')
+      WHEN 1 THEN '**Explanation:**' || chr(8239) || chr(31) || ai_output
+      ELSE '**Score:**' || (turn % 5 + 1) || '/5' END
     WHEN 2 THEN '**Explanation:** ' || ai_output || '**Score:** none'
     ELSE ai_output END"""
 
-_SCORE = r"""CASE WHEN regexp_matches(reply, '\*\*Score:\*\*\s*\d+')
-    THEN regexp_extract(reply, '\*\*Score:\*\*\s*(\d+)', 1) END"""
-_EXPLANATION = r"""CASE WHEN regexp_matches(reply, '\*\*Explanation:\*\*')
-    THEN regexp_extract(reply, '\*\*Explanation:\*\*\s*([^\n]*)', 1) END"""
+_BLANK = r"[\s\p{Z}\x1c-\x1f]*"
+_SCORE = rf"""CASE WHEN regexp_matches(reply, '\*\*Score:\*\*{_BLANK}\p{{Nd}}+')
+    THEN regexp_extract(reply, '\*\*Score:\*\*{_BLANK}(\p{{Nd}}+)', 1) END"""
+_EXPLANATION = rf"""CASE WHEN regexp_matches(reply, '\*\*Explanation:\*\*')
+    THEN regexp_extract(reply, '\*\*Explanation:\*\*{_BLANK}([^\n]*)', 1) END"""
 
 
 def _mean(value: str) -> str:
@@ -157,7 +171,7 @@ replies AS (
   SELECT q.row_id, q.model, q.question,
          CASE question WHEN 'q_rag' THEN 'rag' WHEN 'q_function' THEN 'function' ELSE 'normal' END AS answer_type,
          q.input_prompt,
-         CASE WHEN question = 'q_rag' THEN c.context || ' Question: ' || q.input_prompt || ' Answer:'
+         CASE WHEN question = 'q_rag' THEN {_rendered(RAG_TEMPLATE, {"context": "c.context", "question": "q.input_prompt"})}
               ELSE q.input_prompt END AS prompt
   FROM flow q LEFT JOIN contexts c ON q.question = 'q_rag' AND c.query_id = q.input_prompt),
 weather AS (
@@ -168,7 +182,7 @@ answers AS (
   SELECT row_id, model, question, answer_type, input_prompt,
          CASE WHEN contains(prompt, 'zu') THEN '❌'
               WHEN answer_type = 'function' THEN sentence
-              ELSE array_to_string(({_words('prompt')})[1:12], ' ') END AS ai_output,
+              ELSE {_echo('prompt')} END AS ai_output,
          contains(prompt, 'zu') AS failed,
          CASE WHEN contains(prompt, 'zu') THEN 'RuntimeError' END AS error
   FROM replies LEFT JOIN weather ON answer_type = 'function' AND contains(input_prompt, 'in ' || city || ' '))"""
@@ -190,7 +204,8 @@ _RUBRIC = (
     + " END"
 )
 
-_NOT_EXCLUDED = "question NOT IN (" + ", ".join(_text(q) for q in EXCLUDED) + ")"
+_NOT_EXCLUDED = "coalesce(question NOT IN (" + ", ".join(_text(q) for q in EXCLUDED) + "), true)"
+_KEYED = "keyed AS (SELECT *, CASE WHEN conv_id % 8 < 7 OR turn % 4 > 0 THEN 'q' || (conv_id % 8) END AS question FROM qa)"
 
 ORACLE: dict[str, str] = {
     "chunk_documents": f"WITH {_CHUNKS} SELECT id, doc_id, chunk_ix, len(cw)::int AS n_words, text FROM chunks",
@@ -241,23 +256,24 @@ SELECT e.event_id, e.user_id, v.value AS seen
 FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
   ON e.user_id = v.user_id AND e.ts >= v.ts""",
     "judge_prompt": f"""
-WITH {_QA}, keyed AS (SELECT *, 'q' || (conv_id % 8) AS question FROM qa)
+WITH {_QA}, {_KEYED}
 SELECT conv_id, turn, question, {_RUBRIC} AS judge_prompt FROM keyed WHERE {_NOT_EXCLUDED} AND question <> 'q7'""",
     "judge_rejects": f"""
-WITH {_QA}, keyed AS (SELECT *, 'q' || (conv_id % 8) AS question FROM qa)
-SELECT conv_id, turn, question FROM keyed WHERE question = 'q7'""",
+WITH {_QA}, {_KEYED}
+SELECT conv_id, turn, question FROM keyed WHERE question = 'q7' OR question IS NULL""",
     "judge_parse": f"""
 WITH {_QA}, replies AS (SELECT *, {_REPLY} AS reply FROM qa),
 verdicts AS (SELECT conv_id, turn, {_SCORE} AS score, {_EXPLANATION} AS explanation FROM replies)
-SELECT *, score::double AS score_num FROM verdicts""",
+SELECT *, translate(score, '١٢٣٤٥', '12345')::double AS score_num FROM verdicts""",
     "judge_similarity": f"""
-WITH truths AS (
-  SELECT item_id % 4 AS m, (item_id // 4) % 2 AS t, arg_min(text, item_id) AS truth FROM benchmark GROUP BY 1, 2),
-answers AS (
-  SELECT doc_id, text AS ai_output, truth FROM documents JOIN truths ON doc_id % 4 = m AND (doc_id // 4) % 2 = t),
+WITH answers AS (
+  SELECT d.doc_id, d.text AS ai_output, b.text AS truth
+  FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
 {_cosine_verdicts('answers', 'doc_id', 'ai_output', 'truth')}
 SELECT id AS doc_id, score, explanation FROM alike""",
-    "unjudged_answers": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "unjudged_answers": """
+SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang END AS lang FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "results_union": f"""
 WITH {_QA},
 normal AS (SELECT *, {_REPLY} AS reply FROM qa WHERE conv_id % 2 = 0),
@@ -270,8 +286,8 @@ SELECT conv_id, turn, 'rag', score, explanation FROM other JOIN alike ON id = ro
 WITH {_LOG}
 SELECT event_id, CASE question WHEN 'q_rag' THEN 'RAG' WHEN 'q_function' THEN 'FUNCTION' ELSE question END AS question
 FROM log ORDER BY question""",
-    "summary_by_model": f"WITH {_LOG}, {_averages(chr(39).join(['question <> ', 'q_function', '']), False)} SELECT * FROM averages",
-    "summary_truncated": f"WITH {_LOG}, {_averages('true', True)} SELECT * FROM averages",
+    "summary_by_model": f"WITH {_UNEVEN}, {_averages(chr(39).join(['question IS DISTINCT FROM ', 'q_function', '']), False)} SELECT * FROM averages",
+    "summary_truncated": f"WITH {_UNEVEN}, {_averages('true', True)} SELECT * FROM averages",
     "report_rows": f"WITH {_LOG}, {_REPORT} SELECT * FROM report",
     "report_pivot": f"""
 WITH {_LOG.replace('log AS', 'whole AS', 1)},
@@ -288,14 +304,14 @@ SELECT "Questions",
     "latest_answer": f"""
 WITH {_LOG}
 SELECT model, question, event_id, time_s FROM log
-QUALIFY row_number() OVER (PARTITION BY model, question ORDER BY inserted DESC) = 1""",
+QUALIFY row_number() OVER (PARTITION BY model, question ORDER BY inserted DESC, event_id DESC) = 1""",
     "index_sync": f"""
 WITH {_CHUNKS}, {_counts('ct', 'chunks', 'id', 'cw')},
 norms AS (SELECT id, sum(n * n)::bigint AS sq_norm FROM ct GROUP BY id)
 SELECT id, sha256(text) AS content_hash, sq_norm FROM chunks JOIN norms USING (id)""",
     "generate_stub": f"""
 SELECT conv_id, turn,
-       CASE WHEN contains(text, 'zu') THEN '❌' ELSE array_to_string(({_words('text')})[1:8], ' ') END AS ai_output,
+       CASE WHEN contains(text, 'zu') THEN '❌' ELSE {_echo('text')} END AS ai_output,
        CASE WHEN contains(text, 'zu') THEN 'RuntimeError' END AS error
 FROM conversations WHERE role = 'user'""",
     "answer_flow": f"""
@@ -306,7 +322,8 @@ WITH {_ASKED}, {_FLOW},
 pending AS (SELECT * FROM answers WHERE {_NOT_EXCLUDED}),
 compared AS (
   SELECT row_id, coalesce(ai_output, '') AS ai_output,
-         CASE answer_type WHEN 'rag' THEN (SELECT arg_min(text, item_id) FROM benchmark)
+         CASE answer_type
+              WHEN 'rag' THEN (SELECT string_agg(text, ' ' ORDER BY item_id) FROM benchmark WHERE 'm' || (item_id % 3) = model)
               ELSE (SELECT sentence FROM weather WHERE city = 'City0') END AS truth
   FROM pending WHERE answer_type <> 'normal'),
 {_cosine_verdicts('compared', 'row_id', 'ai_output', 'truth')},

@@ -17,7 +17,7 @@ from askmill.functions.text import render, words
 from askmill.functions.vectors import HashingEmbedder, vector_norm, word_bucket
 from askmill.operators.asof import latest_before
 from askmill.operators.chunks import chunk_documents, chunk_lengths
-from askmill.operators.clients import ExtractiveStub, LengthJudgeStub
+from askmill.operators.clients import EchoStub, LengthJudgeStub
 from askmill.operators.generate import generate
 from askmill.operators.judge import (
     judge_by_similarity,
@@ -41,24 +41,10 @@ from askmill.streaming.index_sync import chunk_changes, publish_changes, read_in
 
 EMBEDDER = HashingEmbedder(256)
 MODELS = ("m0", "m1", "m2")
-RAG_TEMPLATE = "{context} Question: {question} Answer:"
+RAG_TEMPLATE = "Notes: {context}\n{{end of notes}}\nAsked: {question}\nReply:"
 RUBRICS = {
-    f"q{i}": rubric_template(
-        persona,
-        [f"{subject} is {level}." for level in ("wrong", "weak", "fair", "good", "excellent")],
-        subject,
-    )
-    for i, (persona, subject) in enumerate(
-        [
-            ("a music critic", "Song choice"),
-            ("a historian", "Figure"),
-            ("an ethnographer", "Custom"),
-            ("a poet", "Verse"),
-            ("an investor", "Idea"),
-            ("a mathematician", "Result"),
-        ],
-        start=1,
-    )
+    f"q{i}": rubric_template(f"reviewer number {i}", [f"level {k} of {i}" for k in range(1, 6)], f"aspect {i}")
+    for i in range(1, 7)
 }
 
 
@@ -252,8 +238,9 @@ def q_tool_enrich_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answered questions under keys q0 to q7; q0 is not judged and q7 has no rubric."""
-    return qa_pairs(spark, sf_dir).withColumn("question", F.concat(F.lit("q"), F.col("conv_id") % 8))
+    """Answered questions under keys q0 to q7; q0 is not judged, and q7 or no key has no rubric."""
+    keyed = F.when((F.col("conv_id") % 8 < 7) | (F.col("turn") % 4 > 0), F.concat(F.lit("q"), F.col("conv_id") % 8))
+    return qa_pairs(spark, sf_dir).withColumn("question", keyed)
 
 
 def q_judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,6 +261,8 @@ def _verdict_text() -> Column:
     form = F.col("conv_id") % 4
     return (
         F.when(form == 0, F.concat(F.lit("**Score:** "), score, F.lit("\n**Explanation:** "), F.col("ai_output")))
+        .when((form == 1) & (F.col("turn") % 3 == 0), F.concat(F.lit("**Score:**\u00a0"), F.translate(score, "12345", "١٢٣٤٥")))
+        .when((form == 1) & (F.col("turn") % 3 == 1), F.concat(F.lit("**Explanation:**\u202f\x1f"), F.col("ai_output")))
         .when(form == 1, F.concat(F.lit("**Score:**"), score, F.lit("/5")))
         .when(form == 2, F.concat(F.lit("**Explanation:** "), F.col("ai_output"), F.lit("**Score:** none")))
         .otherwise(F.col("ai_output"))
@@ -286,26 +275,25 @@ def q_judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_judge_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as answers; the truths, one per model and answer type, are benchmark items."""
+    """Documents as answers; every benchmark item is the truth of some, as its own answer type."""
 
-    def keys(number: str) -> list[Column]:
-        kind = F.when(F.floor(F.col(number) / 4) % 2 == 0, "rag").otherwise("function")
-        return [F.concat(F.lit("m"), F.col(number) % 4).alias("model"), kind.alias("answer_type")]
+    def keys(number: Column) -> list[Column]:
+        return [F.concat(F.lit("m"), number % 4).alias("model"), F.concat(F.lit("item"), number).alias("answer_type")]
 
-    answers = documents(spark, sf_dir).select("doc_id", *keys("doc_id"), F.col("text").alias("ai_output"))
-    truths = (
-        table(spark, sf_dir, "benchmark")
-        .select(*keys("item_id"), "item_id", "text")
-        .groupBy("model", "answer_type")
-        .agg(F.min_by("text", "item_id").alias("truth"))
-    )
+    items = table(spark, sf_dir, "benchmark")
+    n_items = items.select(F.max("item_id")).first()[0] + 1
+    answers = documents(spark, sf_dir).select("doc_id", *keys(F.col("doc_id") % n_items), F.col("text").alias("ai_output"))
+    truths = items.select(*keys(F.col("item_id")), F.col("text").alias("truth"))
     verdicts, _ = judge_by_similarity(answers, truths)
     return verdicts.select("doc_id", "score", "explanation")
 
 
 def q_unjudged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return not_yet_judged(answers, table(spark, sf_dir, "labels"), ["doc_id"])
+    """Documents without a label; the language, which some lack, is part of the key."""
+    known_lang = F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang")
+    answers = table(spark, sf_dir, "documents").select("doc_id", known_lang)
+    judged = answers.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return not_yet_judged(answers, judged, ["doc_id", "lang"])
 
 
 def q_results_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,12 +314,22 @@ def q_relabel_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relabelled(event_log(spark, sf_dir), names).select("event_id", "question")
 
 
+def uneven_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with rows that lack their question and scores without end."""
+    return event_log(spark, sf_dir).withColumns(
+        {
+            "question": F.when(F.col("event_id") % 17 > 0, F.col("question")),
+            "score": F.when(F.col("event_id") % 19 == 0, F.lit("inf")).otherwise(F.col("score")),
+        }
+    )
+
+
 def q_summary_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return averages(event_log(spark, sf_dir))
+    return averages(uneven_log(spark, sf_dir))
 
 
 def q_summary_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return averages(event_log(spark, sf_dir), exclude=(), truncate=True)
+    return averages(uneven_log(spark, sf_dir), exclude=(), truncate=True)
 
 
 def q_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,12 +341,16 @@ def q_report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_latest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = latest_per_key(event_log(spark, sf_dir), ["model", "question"], [F.col("inserted").desc()])
+    newest = latest_per_key(event_log(spark, sf_dir), ["model", "question"], [F.col("inserted").desc(), F.col("event_id").desc()])
     return newest.select("model", "question", "event_id", "time_s")
 
 
 def q_index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of small chunks, brought in step with large ones by a second sync."""
+    """An index of small chunks, brought in step with large ones by a second sync.
+
+    A third one confirms every third chunk and deletes ids that never were; the
+    older deletions and insertions that come after it must change nothing.
+    """
     feed, index, checkpoint = (scratch_path(spark, name) for name in ("feed", "index", "sync"))
     docs = documents(spark, sf_dir)
     first, second = chunk_documents(docs, size=100, overlap=0), chunk_documents(docs)
@@ -357,6 +359,12 @@ def q_index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     sync_index(spark, feed, index, checkpoint, EMBEDDER)
     publish_changes(chunk_changes(first, second, 2), feed)
     sync_index(spark, feed, index, checkpoint, EMBEDDER)
+    third = second.where(F.col("chunk_ix") % 3 == 0).select("id", "text")
+    unknown = third.withColumn("id", F.concat(F.lit("gone "), "id"))
+    for confirmed, other, seq in (("upsert", "delete", 7), ("delete", "upsert", 6)):
+        late = third.withColumn("op", F.lit(confirmed)).unionByName(unknown.withColumn("op", F.lit(other)))
+        publish_changes(late.withColumn("seq", F.lit(seq).cast("bigint")), feed)
+        sync_index(spark, feed, index, checkpoint, EMBEDDER)
     return read_index(spark, index).select(
         "id", "content_hash", F.round(F.col("norm") * F.col("norm")).cast("bigint").alias("sq_norm")
     )
@@ -367,7 +375,7 @@ def q_generate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = user_turns(spark, sf_dir).select(
         "conv_id", "turn", chat.messages_json(chat.messages(F.lit("Be brief."), F.col("text"))).alias("request")
     )
-    replies = generate(requests, lambda: ExtractiveStub(n_words=8, fail_on="zu"))
+    replies = generate(requests, lambda: EchoStub(fail_on="zu"))
     answer = F.when(F.col("error").isNotNull(), F.lit(FAILED)).otherwise(F.col("ai_output"))
     return replies.select("conv_id", "turn", answer.alias("ai_output"), "error")
 
@@ -412,7 +420,7 @@ def _flow_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_questions(
         flow_questions(spark, sf_dir),
         build_index(chunks(spark, sf_dir), EMBEDDER),
-        lambda: ExtractiveStub(n_words=12, fail_on="zu"),
+        lambda: EchoStub(fail_on="zu"),
         [weather_tool(observations(spark, sf_dir))],
         EMBEDDER,
     )
@@ -425,12 +433,17 @@ def q_answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_judge_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of all routes judged; the truth of the rag route is the first benchmark item."""
+    """Answers of all routes judged; a third of the benchmark items is the truth of each model's rag answers."""
     answers = materialise(_flow_answers(spark, sf_dir), "answers")
     params = F.struct(F.lit(250).alias("max_tokens"), F.lit(0.1).alias("temperature"))
-    first = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("rag_ground_truth"))
-    settings = first.select(
-        F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"),
+    items = F.array_sort(F.collect_list(F.struct("item_id", "text")))
+    truths = (
+        table(spark, sf_dir, "benchmark")
+        .groupBy(F.concat(F.lit("m"), F.col("item_id") % len(MODELS)).alias("model"))
+        .agg(F.array_join(F.transform(items, lambda item: item["text"]), " ").alias("rag_ground_truth"))
+    )
+    settings = truths.select(
+        "model",
         F.lit("local").alias("judge_endpoint"),
         params.alias("judge_params"),
         F.lit("Judge.").alias("judge_system_prompt"),

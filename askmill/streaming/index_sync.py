@@ -3,7 +3,10 @@
 A change feed is a folder of parquet files with ``id, text, op, seq``: ``op`` is
 ``upsert`` or ``delete`` and ``seq`` grows with every change. A sync takes in
 what is new since the last one and stops. The index is a folder of versions,
-one per micro-batch, and readers take the newest version of each id.
+one per micro-batch, and readers take the newest version of each id. A change
+that alters nothing leaves a small ``touch`` row without text and vector, and a
+deletion of an unknown id a tombstone, so that an older change that comes later
+is still known to be older.
 """
 
 from __future__ import annotations
@@ -58,7 +61,7 @@ def _versions(spark: SparkSession, index: str) -> DataFrame:
 
 
 def _newest(spark: SparkSession, index: str) -> DataFrame:
-    """Newest version of each id, tombstones included.
+    """Newest version of each id with what it holds, tombstones included.
 
     Within a version ids are unique. The first version is the large one, and it
     is not shuffled: only the ids and rows of the versions after it are, and
@@ -68,7 +71,9 @@ def _newest(spark: SparkSession, index: str) -> DataFrame:
     first = stored.agg(F.min("version")).first()[0]
     if first is None:
         return stored
-    base, later = stored.where(F.col("version") == first), stored.where(F.col("version") > first)
+    base = stored.where(F.col("version") == first)
+    # The first version has nothing that it could touch.
+    later = stored.where((F.col("version") > first) & (F.col("op") != "touch"))
     if later.isEmpty():
         return base
     replaced = broadcast_if_small(later.select("id"), rows=BROADCAST_IDS)
@@ -88,7 +93,10 @@ def compact_index(spark: SparkSession, index: str, target: str) -> None:
     The version is below any micro-batch's, so a sync can go on with the same
     checkpoint on ``target``, even with a batch that ``index`` holds already.
     """
-    _newest(spark, index).withColumn("version", F.lit(-1).cast("bigint")).write.partitionBy("version").parquet(target)
+    touched = _versions(spark, index).where("op = 'touch'").groupBy("id").agg(F.max("seq").alias("_touched"))
+    newest = _newest(spark, index).join(touched, "id", "left").withColumn("seq", F.greatest("seq", "_touched"))
+    columns = [f.split()[0] for f in VERSIONS.split(", ")]
+    newest.withColumn("version", F.lit(-1).cast("bigint")).select(*columns).write.partitionBy("version").parquet(target)
 
 
 def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -> None:
@@ -96,31 +104,31 @@ def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -
 
     Only versions before this one count as stored, and a version that exists is
     replaced, so a batch that is run again leaves the same result. Of several
-    changes to an id the last counts; changes that come late, or equal the newest
-    stored state, are dropped before anything is embedded.
+    changes to an id the last counts, and of those at one place in the feed always
+    the same; changes that come late are dropped before anything is embedded, and
+    of those that equal the stored state only their place in the feed is kept.
     """
     spark = changes.sparkSession
-    last = latest_per_key(changes, ["id"], [F.col("seq").desc()]).withColumn("content_hash", F.sha2("text", 256))
+    hashed = changes.withColumn("content_hash", F.sha2("text", 256))
+    last = latest_per_key(hashed, ["id"], [F.col("seq").desc(), F.col("op").desc(), F.col("content_hash").desc_nulls_last()])
     stored = _versions(spark, index).where(F.col("version") < version)
     # Rank only the stored rows whose id changes; text and vectors are not read.
     ids = broadcast_if_small(changes.select("id"), rows=BROADCAST_IDS)
     touched = stored.select("id", "version", "op", "seq", "content_hash").join(ids, "id", "left_semi")
-    state = latest_per_key(touched, ["id"], [F.col("version").desc()]).select(
-        "id",
-        F.col("op").alias("stored_op"),
-        F.col("seq").alias("stored_seq"),
-        F.col("content_hash").alias("stored_hash"),
-    )
-    same_text = (F.col("stored_op") == "upsert") & F.col("content_hash").eqNullSafe(F.col("stored_hash"))
-    already_gone = F.col("stored_op").isNull() | (F.col("stored_op") == "delete")
+    held = F.when(F.col("op") != "touch", F.struct("version", "op", "content_hash"))
+    state = touched.groupBy("id").agg(F.max("seq").alias("stored_seq"), F.max(held).alias("held"))
+    same_text = (F.col("held.op") == "upsert") & F.col("content_hash").eqNullSafe(F.col("held.content_hash"))
+    alters_nothing = F.when(F.col("op") == "delete", F.col("held.op") == "delete").otherwise(same_text)
+    is_touch = F.coalesce(alters_nothing, F.lit(False))
     news = (
         last.join(state, "id", "left")
         .where(F.col("stored_seq").isNull() | (F.col("seq") > F.col("stored_seq")))
-        .where(F.when(F.col("op") == "delete", ~already_gone).otherwise(~F.coalesce(same_text, F.lit(False))))
+        .withColumn("op", F.when(is_touch, F.lit("touch")).otherwise(F.col("op")))
+        .withColumn("text", F.when(F.col("op") == "upsert", F.col("text")))
         .select("id", "text", "content_hash", "op", "seq")
     )
-    # A deleted row has no text; it passes the embedder and loses the vector of nothing.
-    live = F.col("op") != "delete"
+    # Other rows have no text; they pass the embedder and lose the vector of nothing.
+    live = F.col("op") == "upsert"
     (
         embed(news, "text", embedder)
         .withColumns({"embedding": F.when(live, F.col("embedding")), "norm": F.when(live, F.col("norm"))})

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from askmill import schemas
 from askmill.operators.clients import Reply
 from askmill.operators.dimensions import broadcast_if_small, look_up
-from askmill.operators.judge import judge_by_similarity, rubric_template, rubrics_table
-from askmill.operators.latest import latest_per_key
+from askmill.operators.judge import judge_by_similarity, rubric_template, rubrics_table, to_judge, tool_truths
+from askmill.operators.latest import latest_per_key, not_yet_judged
 from askmill.plans.judging import judge_answers
 
 LEVELS = ["wrong", "weak", "fair", "good", "great"]
@@ -102,12 +102,14 @@ def test_model_without_settings(spark, rubrics, settings, observations):
 
 def test_similarity_graded_by_a_model(spark, rubrics, settings, observations):
     def grade(request):
-        assert "Truth:** 'the true words'" in request.user_text or f"Truth:** '{WEATHER}'" in request.user_text
+        assert "Reference: the true words" in request.user_text or f"Reference: {WEATHER}" in request.user_text
+        assert request.endpoint == "grader"
         return Reply(text="**Score:** 3\n**Explanation:** close")
 
     log = answers(spark, answer("q_rag", "words", "rag"), answer("q_function", None, "function"))
+    graded = settings.withColumn("similarity_endpoint", F.lit("grader"))
     verdicts, _ = judge_answers(
-        log, settings, rubrics, observations, lambda: judge, "Oulu", similarity_factory=lambda: grade
+        log, graded, rubrics, observations, lambda: judge, "Oulu", similarity_factory=lambda: grade
     )
     assert [(r.score, r.explanation) for r in verdicts.collect()] == [("3", "close")] * 2
 
@@ -143,6 +145,26 @@ def test_broadcast_only_when_measured_small(spark):
     assert "ResolvedHint" not in broadcast_if_small(small, size=20)._jdf.queryExecution().toString()
 
 
+def test_look_up_rejects_keys_with_several_entries(spark):
+    facts = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    dimension = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), (None, 3)], "k string, v int")
+    known, rejected = look_up(facts, dimension, ["k"], "quarantine")
+    assert known.collect() == [("a", 1)] and {r.k for r in rejected.collect()} == {"b", None}
+    with pytest.raises(Exception, match="several entries"):
+        look_up(facts.where("k = 'b'"), dimension, ["k"])[0].collect()
+
+
+def test_answers_without_a_question(spark):
+    df = spark.createDataFrame([(None, 1), ("q0", 2), ("q1", 3)], "question string, n int")
+    assert {r.n for r in to_judge(df).collect()} == {1, 3}
+    assert {r.n for r in not_yet_judged(df, df.where("n < 3").select("question"), ["question"]).collect()} == {3}
+
+
+def test_one_time_of_many_tool_answers_is_looked_up_once(spark, observations):
+    log = answers(spark, *[answer("q_function", str(i), "function") for i in range(50)])
+    assert [r.truth for r in tool_truths(log, observations, "Oulu").collect()] == [WEATHER] * 50
+
+
 def test_look_up_without_broadcast_still_rejects(spark, monkeypatch):
     import askmill.operators.dimensions as module
 

@@ -113,4 +113,29 @@ def test_unchanged_text_is_not_written_again(spark, tmp_path):
     apply_changes(spark.createDataFrame(rows, "id string, text string, op string, seq bigint"), 0, index)
     rows = [("a", "same", "upsert", 2), ("b", "more", "upsert", 3)]
     apply_changes(spark.createDataFrame(rows, "id string, text string, op string, seq bigint"), 1, index)
-    assert spark.read.parquet(index).where(F.col("version") == 1).select("id").collect() == [("b",)]
+    written = spark.read.parquet(index).where(F.col("version") == 1).orderBy("id")
+    assert written.select("id", "op", "text", "embedding", "seq").collect()[0] == ("a", "touch", None, None, 2)
+    assert written.select("id", "op").collect()[1:] == [("b", "upsert")]
+    assert state(spark, index) == {"a": "same", "b": "more"}
+
+
+def test_late_changes_lose_to_changes_that_altered_nothing(spark, tmp_path):
+    index, compact = str(tmp_path / "index"), str(tmp_path / "compact")
+    steps = [("a", "t", "upsert", 1)], [("a", "t", "upsert", 7), ("x", None, "delete", 5)]
+    late = [("a", None, "delete", 4), ("x", "back", "upsert", 4)]
+    for version, rows in enumerate([*steps, late]):
+        apply_changes(spark.createDataFrame(rows, "id string, text string, op string, seq bigint"), version, index)
+    assert state(spark, index) == {"a": "t"}
+    compact_index(spark, index, compact)
+    apply_changes(spark.createDataFrame(late, "id string, text string, op string, seq bigint"), 3, compact)
+    assert state(spark, compact) == {"a": "t"}
+
+
+def test_changes_at_one_place_in_the_feed_have_an_order(spark, tmp_path):
+    rows = [("a", t, "upsert", 1) for t in ("one", "two", "three")]
+    found = set()
+    for i, order in enumerate((rows, rows[::-1])):
+        index = str(tmp_path / f"index{i}")
+        apply_changes(spark.createDataFrame(order, "id string, text string, op string, seq bigint"), 0, index)
+        found.add(state(spark, index)["a"])
+    assert len(found) == 1

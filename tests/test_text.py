@@ -95,6 +95,14 @@ def test_templates_are_filled_once(spark):
     assert df.select(render_each(F.col("t"), slots)).first()[0] == expected
 
 
+@pytest.mark.parametrize("template", ["a {{q}} {q}", "{{{q}}} }}{{", "{{}}", "plain", "{q}{q}{{q"[:-3]])
+def test_both_renderers_read_doubled_braces_alike(spark, template):
+    df = spark.createDataFrame([("V{q}", template)], "q string, t string")
+    slots = {"q": F.col("q")}
+    expected = template.format(q="V{q}")
+    assert df.select(render(template, slots), render_each(F.col("t"), slots)).first() == (expected, expected)
+
+
 def test_templates_with_null_and_unknown_slots(spark):
     df = spark.createDataFrame([(None,)], "q string")
     assert df.select(render("<{q}>", {"q": F.col("q")})).first()[0] == "<>"

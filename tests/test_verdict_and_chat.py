@@ -17,6 +17,8 @@ CASES = [
     ("**Score:** _\n**Score:** 2\n**Score:** 5\n**Explanation:** x\n**Explanation:** y", "2", "x"),
     ("Score: 4", None, None),
     ("**Explanation:**\n\n  next line", None, "next line"),
+    ("**Score:**\u00a04\n**Explanation:**\u202f\x1c fine", "4", "fine"),
+    ("**Score:** ٤\n**Explanation:** عربي", "٤", "عربي"),
     (None, None, None),
 ]
 
@@ -28,8 +30,8 @@ def test_verdicts(spark):
 
 
 def test_score_numbers(spark):
-    df = spark.createDataFrame([(t,) for t in ["4", "4.0", "None", "nan", "NaN", None, ""]], "s string")
-    assert [r[0] for r in df.select(score_number(F.col("s"))).collect()] == [4.0, 4.0, None, None, None, None, None]
+    df = spark.createDataFrame([(t,) for t in ["4", "4.0", "None", "nan", "NaN", None, "", "inf", "-Infinity", "٣", "४.५"]], "s string")
+    assert [r[0] for r in df.select(score_number(F.col("s"))).collect()] == [4.0, 4.0, *[None] * 7, 3.0, 4.5]
 
 
 @pytest.mark.parametrize("values,shown", [([3.0, 3.25], "3.13"), ([4.0], "4.0"), ([1.0, 2.0, 2.0], "1.67")])
