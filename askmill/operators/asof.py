@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from askmill.operators.dimensions import broadcast_if_small
+from askmill.session import materialise
 
-def _hot_keys(moments: DataFrame, key: str, slices: int, fits: int) -> list:
-    """Keys with over ``fits`` rows and over one part in ``slices`` of all; there are fewer than ``slices``."""
-    seen = Observation()
-    counts = moments.groupBy(key).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
-    largest = counts.orderBy(F.col("n").desc()).limit(slices - 1).collect()
-    total = seen.get["total"] or 0
-    return [row[key] for row in largest if row["n"] > fits and row["n"] * slices > total]
+# Hot keys are broadcast up to this many, if they are small enough as well.
+HOT_KEYS = 100_000
 
 
-def _slice_of(at: Column, edges: Column, n_edges: int) -> Column:
-    """How many of the sorted ``edges`` (at most ``n_edges``) lie below ``at``, by halving steps."""
-    steps, step = [], 1
-    while step <= n_edges:
-        steps.insert(0, step)
-        step *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda below, s: F.when(
-            (below + s <= F.size(edges)) & (F.try_element_at(edges, F.least(below + s, F.size(edges))) < at),
-            below + s,
-        ).otherwise(below),
-    )
+def _hot_keys(moments: DataFrame, key: str, fits: int) -> DataFrame:
+    """Keys with over ``fits`` rows, stored: of N rows in all at most N / ``fits`` keys."""
+    counts = moments.groupBy(key).agg(F.count("*").alias("n"))
+    return materialise(counts.where(F.col("n") > fits).select(key), "hot-keys")
 
 
 def _in_one_window(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value: str) -> DataFrame:
@@ -44,35 +31,31 @@ def _in_one_window(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, va
     return latest.where(F.col("_ask").isNotNull()).select("_ask.*", F.col("_held.value").alias(value))
 
 
-def _in_slices(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value: str, slices: int) -> DataFrame:
+def _in_ranges(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value: str) -> DataFrame:
     """The same for keys too large for one task.
 
-    Equal times are folded first, each key's time is cut at its own quantiles,
-    and one row per key and slice carries the newest observation onwards.
+    Equal times are folded first, the rest is sorted by ranges of key and time,
+    so a key takes as many ranges as it needs, and one row per key and range
+    carries the newest observation onwards.
     """
-    moments = asks.select(key, F.col(asked_at).alias("_at")).unionByName(seen.select(key, "_at"))
-    fractions = [i / slices for i in range(1, slices)]
-    edges = moments.groupBy(key).agg(F.percentile_approx("_at", fractions, 100 * slices).alias("_edges"))
     folded = (
         asks.select(key, F.col(asked_at).alias("_at"), F.lit(True).alias("_wanted"))
         .unionByName(seen, allowMissingColumns=True)
         .groupBy(key, "_at")
         .agg(F.max("_held").alias("_held"), F.max("_wanted").alias("_wanted"))
     )
-    # Fewer than ``slices`` keys, each with as many edges.
-    timeline = folded.join(F.broadcast(edges), key).withColumn(
-        "_slice", _slice_of(F.col("_at"), F.col("_edges"), slices - 1)
-    )
-    timeline = timeline.drop("_edges")
-    so_far = Window.partitionBy(key, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The upper bits of a row's number are its range. Stored, so that all readers see the same ranges.
+    placed = folded.repartitionByRange(key, "_at").withColumn("_range", F.shiftright(F.monotonically_increasing_id(), 33))
+    timeline = materialise(placed, "timeline")
+    so_far = Window.partitionBy(key, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = timeline.withColumn("_held", F.last("_held", ignorenulls=True).over(so_far)).where("_wanted")
-    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        timeline.groupBy(key, "_slice")
+        timeline.groupBy(key, "_range")
         .agg(F.max(F.when(F.col("_held").isNotNull(), F.struct("_at", "_held"))).alias("_newest"))
-        .select(key, "_slice", F.last(F.col("_newest._held"), ignorenulls=True).over(earlier).alias("_carried"))
+        .select(key, "_range", F.last(F.col("_newest._held"), ignorenulls=True).over(earlier).alias("_carried"))
     )
-    resolved = within.join(carried, [key, "_slice"], "left").select(
+    resolved = within.join(carried, [key, "_range"], "left").select(
         key, F.col("_at").alias(asked_at), F.coalesce("_held", "_carried")["value"].alias(value)
     )
     return asks.join(resolved, [key, asked_at], "left").select(*asks.columns, value)
@@ -85,15 +68,13 @@ def latest_before(
     asked_at: str,
     observed_at: str,
     value: str,
-    slices: int = 64,
     fits: int = 1_000_000,
 ) -> DataFrame:
     """``asks`` with ``value`` of the latest observation of the same ``key``; NULL if none.
 
     Of observations at the same time the greatest value counts. Rows per key
     are counted first: keys with more rows than one task should sort (``fits``)
-    that also hold more than one part in ``slices`` of all rows are worked on in
-    that many time slices, all others as a whole.
+    are worked on in ranges of time, all others as a whole.
     """
     held = F.struct(F.col(value).alias("value")).alias("_held")
     seen = observations.select(key, F.col(observed_at).alias("_at"), held).where(
@@ -102,12 +83,11 @@ def latest_before(
     placed = F.col(key).isNotNull() & F.col(asked_at).isNotNull()
     dated = asks.where(placed)
     missing = asks.where(~placed).withColumn(value, F.lit(None).cast(observations.schema[value].dataType))
-    hot = _hot_keys(dated.select(key).unionAll(seen.select(key)), key, slices, fits)
-    is_hot = F.col(key).isin(hot)
-    found = _in_one_window(
-        dated.where(~is_hot) if hot else dated, seen.where(~is_hot) if hot else seen, key, asked_at, value
-    )
-    if hot:
-        sliced = _in_slices(dated.where(is_hot), seen.where(is_hot), key, asked_at, value, slices)
-        found = found.unionByName(sliced)
-    return found.unionByName(missing)
+    hot = _hot_keys(dated.select(key).unionAll(seen.select(key)), key, fits)
+    if hot.isEmpty():
+        return _in_one_window(dated, seen, key, asked_at, value).unionByName(missing)
+    hot = broadcast_if_small(hot, rows=HOT_KEYS)
+    parts = {how: (dated.join(hot, key, how), seen.join(hot, key, how)) for how in ("left_anti", "left_semi")}
+    whole = _in_one_window(*parts["left_anti"], key, asked_at, value)
+    found = whole.unionByName(_in_ranges(*parts["left_semi"], key, asked_at, value)).unionByName(missing)
+    return found.select(*asks.columns, value)

@@ -11,6 +11,7 @@ from askmill.functions.numbers import mean_text, score_number, seconds_text
 from askmill.functions.text import question_label, relabel
 from askmill.operators.latest import latest_per_key
 from askmill.operators.tools import FAILED
+from askmill.session import materialise
 
 # Labels of the total rows, display names and what averages leave out.
 SCORE_ROW = "Overall situation:"
@@ -124,6 +125,8 @@ def comparison(
     current = latest_per_key(
         results.where(F.col("model").isin(list(models))), ["model", "question", "input_prompt"], newest
     )
+    # Details and totals read it: stored, so that the log is read and ranked once.
+    current = materialise(current.select("model", "question", "input_prompt", "score", "time_s"), "current")
     rows = report_rows(current, exclude, truncate, names, mask)
     # One conditional aggregate per model: a single shuffle, where pivot() takes two.
     columns = []

@@ -305,6 +305,15 @@ SELECT "Questions",
 WITH {_LOG}
 SELECT model, question, event_id, time_s FROM log
 QUALIFY row_number() OVER (PARTITION BY model, question ORDER BY inserted DESC, event_id DESC) = 1""",
+    "model_report": f"""
+WITH {_LOG.replace('log AS', 'whole AS', 1)},
+log AS (
+  SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY model, question ORDER BY inserted DESC, event_id DESC) = 1),
+{_REPORT}
+SELECT "Questions", coalesce(score_text, '') AS m0, coalesce(speed_text, '') AS "m0 speed", '' AS m1,
+       row_number() OVER (ORDER BY section, "Questions", score_text, speed_text)::int AS position
+FROM report WHERE model = 'm0'""",
+    "stored_log": f"WITH {_LOG} SELECT event_id, model, question, score, count(*) OVER (PARTITION BY model) AS n_of_model FROM log",
     "index_sync": f"""
 WITH {_CHUNKS}, {_counts('ct', 'chunks', 'id', 'cw')},
 norms AS (SELECT id, sum(n * n)::bigint AS sq_norm FROM ct GROUP BY id)

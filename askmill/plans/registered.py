@@ -7,9 +7,10 @@ a vector index and ``events`` stands in for an answer log.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askmill.functions import chat
@@ -28,7 +29,7 @@ from askmill.operators.judge import (
     with_verdict,
 )
 from askmill.operators.latest import latest_per_key, not_yet_judged
-from askmill.operators.report import averages, comparison, relabelled, report_rows
+from askmill.operators.report import averages, comparison, model_report, relabelled, report_rows
 from askmill.operators.retrieve import nearest, retrieve, stuff_context
 from askmill.operators.routes import route_questions
 from askmill.operators.tools import FAILED, weather_tool
@@ -37,6 +38,7 @@ from askmill.plans.answers import answer_questions
 from askmill.plans.judging import judge_answers
 from askmill.session import materialise, scratch_path
 from askmill.sources.configs import answer_settings, parse_configs, question_rows
+from askmill.sources.tables import TableSet, append_table, check_targets, drop_table, overwrite_table
 from askmill.streaming.index_sync import chunk_changes, publish_changes, read_index, sync_index
 
 EMBEDDER = HashingEmbedder(256)
@@ -345,6 +347,31 @@ def q_latest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("model", "question", "event_id", "time_s")
 
 
+def q_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one model over its newest answers, with the place of each row."""
+    newest = latest_per_key(event_log(spark, sf_dir), ["model", "question"], [F.col("inserted").desc(), F.col("event_id").desc()])
+    report = model_report(newest, "m0", placeholders=("m1",))
+    # A row a question and two totals: the place in the sorted report.
+    order = Window.orderBy(F.monotonically_increasing_id())
+    return report.withColumn("position", F.row_number().over(order))
+
+
+def q_stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in a table: checked for, appended to twice and read; a second table is written, replaced and dropped."""
+    names = TableSet("spark_catalog", "default", f"run_{uuid.uuid4().hex}")
+    check_targets(spark, names)
+    log = event_log(spark, sf_dir)
+    for rest in (0, 1):
+        append_table(log.where(F.col("event_id") % 2 == rest), names.answers, partition_by=("model",))
+    overwrite_table(log.select("event_id"), names.chunks)
+    overwrite_table(spark.read.table(names.answers).groupBy("model").count(), names.results)
+    counted = spark.read.table(names.results).withColumnRenamed("count", "n_of_model")
+    drop_table(spark, names.chunks)
+    if spark.catalog.tableExists(names.chunks):
+        raise RuntimeError("a dropped table is still there")
+    return spark.read.table(names.answers).join(counted, "model").select("event_id", "model", "question", "score", "n_of_model")
+
+
 def q_index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of small chunks, brought in step with large ones by a second sync.
 
@@ -484,6 +511,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_rows": q_report_rows,
     "report_pivot": q_report_pivot,
     "latest_answer": q_latest_answer,
+    "model_report": q_model_report,
+    "stored_log": q_stored_log,
     "index_sync": q_index_sync,
     "generate_stub": q_generate_stub,
     "answer_flow": q_answer_flow,

@@ -104,6 +104,13 @@ def test_pacing_is_a_ceiling(spark):
     assert time.time() - begun >= 1.5
 
 
+def test_calls_of_one_partition_run_in_many_tasks(spark):
+    request = json.dumps({"messages": [{"role": "user", "content": "hi"}]})
+    df = spark.createDataFrame([(request,)] * 64, "request string").coalesce(1)
+    tasks = generate(df, ExtractiveStub).select(F.spark_partition_id()).distinct().count()
+    assert tasks == spark.sparkContext.defaultParallelism
+
+
 def test_all_routes(spark, observations):
     answers = answer_questions(
         questions(spark), index(spark), lambda: ExtractiveStub(5), [weather_tool(observations)], HashingEmbedder(), k=2

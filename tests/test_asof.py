@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from askmill.operators.asof import latest_before
+from askmill.operators.asof import _hot_keys, latest_before
 
 START = dt.datetime(2024, 1, 1)
 
@@ -12,10 +12,10 @@ def at(minutes):
     return None if minutes is None else START + dt.timedelta(minutes=minutes)
 
 
-def run(spark, asks, seen, slices, fits=0):
+def run(spark, asks, seen, fits):
     asked = spark.createDataFrame([(i, k, at(t)) for i, (k, t) in enumerate(asks)], "i int, city string, asked_at timestamp")
     held = spark.createDataFrame([(k, at(t), v) for k, t, v in seen], "city string, observed_at timestamp, value string")
-    found = latest_before(asked, held, "city", "asked_at", "observed_at", "value", slices, fits)
+    found = latest_before(asked, held, "city", "asked_at", "observed_at", "value", fits)
     assert found.columns == ["i", "city", "asked_at", "value"]
     return {r.i: r.value for r in found.collect()}
 
@@ -29,23 +29,34 @@ def expected(asks, seen):
     return out
 
 
-@pytest.mark.parametrize("slices,fits", [(2, 0), (5, 0), (64, 0), (64, 10**6)])
-def test_against_a_loop_with_one_hot_key(spark, slices, fits):
-    rng = random.Random(slices)
+@pytest.mark.parametrize("fits", [0, 20, 400, 10**6])
+def test_against_a_loop_with_one_hot_key(spark, fits):
+    rng = random.Random(fits)
     seen = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.randrange(300), f"v{i:03d}") for i in range(200)]
     asks = [(rng.choice(["hot"] * 8 + ["a", "b", "unseen", None]), rng.randrange(300)) for _ in range(300)]
     asks += [("hot", 150)] * 200 + [("hot", None)]
-    assert run(spark, asks, seen, slices, fits) == expected(asks, seen)
+    assert run(spark, asks, seen, fits) == expected(asks, seen)
+
+
+def test_a_key_over_the_size_of_a_task_is_hot_whatever_its_share(spark):
+    rows = [("k",)] * 150 + [(f"o{i}",) for i in range(20_000)]
+    assert _hot_keys(spark.createDataFrame(rows, "city string"), "city", 100).collect() == [("k",)]
+
+
+def test_all_asks_at_one_time(spark):
+    seen = [("a", t, f"v{t}") for t in range(60)]
+    asks = [("a", 30)] * 500
+    assert run(spark, asks, seen, 50) == {i: "v30" for i in range(500)}
 
 
 def test_null_values_count_as_observed(spark):
     seen = [("a", 1, "old"), ("a", 2, None)]
-    assert run(spark, [("a", 1), ("a", 3)], seen, 8) == {0: "old", 1: None}
+    assert run(spark, [("a", 1), ("a", 3)], seen, 0) == {0: "old", 1: None}
 
 
 def test_before_first_and_no_observations(spark):
-    assert run(spark, [("a", 1)], [("a", 2, "x")], 4) == {0: None}
-    assert run(spark, [("a", 1)], [], 4) == {0: None}
+    assert run(spark, [("a", 1)], [("a", 2, "x")], 0) == {0: None}
+    assert run(spark, [("a", 1)], [], 9) == {0: None}
 
 
 def test_no_pairs_are_joined(spark):
