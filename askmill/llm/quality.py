@@ -135,14 +135,15 @@ def host_verdicts(judged: DataFrame, host: str, max_rate: float = MAX_HOST_RATE)
     between = F.col("squares") - F.col("all_n") * mean * mean
     chance = (F.col("hosts") - 1) * mean * (1 - mean)
     room = F.col("all_n") - F.col("n_squares") / F.col("all_n")
-    variance = F.when(room > 0, F.greatest((between - chance) / room, F.lit(0.0)) / F.lit(1.0)).otherwise(F.lit(0.0))
+    variance = F.when(room > 0, F.greatest((between - chance) / room, F.lit(0.0))).otherwise(F.lit(0.0))
     typical = F.col("all_n") / F.col("hosts")
     most = typical * 1000
     firm = F.when(variance > 0, F.least(F.greatest(mean * (1 - mean) / variance - 1, F.lit(0.0)), most)).otherwise(most)
-    # One row: two numbers for all hosts.
-    shrunk = sums.crossJoin(F.broadcast(prior.select(mean.alias("mean"), firm.alias("weight"))))
-    rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    return shrunk.select("host", "n", "n_failed", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
+    # Two numbers for all hosts; without hosts there are none, and no rows either.
+    found = prior.select(mean.alias("mean"), firm.alias("weight")).first()
+    common, weight = F.lit(found["mean"] or 0.0), F.lit(found["weight"] or 0.0)
+    rate = (F.col("n_failed") + common * weight) / (F.col("n") + weight)
+    return sums.select("host", "n", "n_failed", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
 
 
 def judge_documents(

@@ -40,10 +40,6 @@ def by_name(value: Column, bits: int = BITS) -> Column:
     return F.coalesce(F.crc32(value.cast("string").cast("binary")) % most + 1, F.lit(0)).cast("bigint")
 
 
-def _replace(values: Column, change) -> Column:
-    return F.transform(values, change)
-
-
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     """The place of a cell along the Hilbert curve through all ``len(cells)`` dimensions of ``bits`` bits.
 
@@ -66,11 +62,11 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
             flipped = F.when(is_set, value.bitwiseXOR(low)).otherwise(value.bitwiseXOR(swapped))
             return F.when(place == 0, flipped).when((place == step["i"]) & ~is_set, value.bitwiseXOR(swapped)).otherwise(value)
 
-        return _replace(x, change)
+        return F.transform(x, change)
 
     def gray(x: Column, step: Column) -> Column:
         before = F.get(x, step["i"] - 1)
-        return _replace(x, lambda value, place: F.when(place == step["i"], value.bitwiseXOR(before)).otherwise(value))
+        return F.transform(x, lambda value, place: F.when(place == step["i"], value.bitwiseXOR(before)).otherwise(value))
 
     highest = range(bits - 1, 0, -1)
     start = F.array(*[c.cast("bigint") for c in cells])
