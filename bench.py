@@ -12,6 +12,9 @@ import os
 import sys
 import time
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from askmill.plans.registered import QUERIES  # noqa: E402
@@ -45,12 +48,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     # Start the Python workers and load the classes once, outside the timings.
     QUERIES["retrieve_chunks"](spark, sf_dir).limit(1).collect()
-    seconds = {}
+    seconds, rates = {}, {}
     for name in names:
+        seen = Observation()
         begun = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        counted = QUERIES[name](spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begun, 3)
-        print(name, seconds[name], file=sys.stderr, flush=True)
+        rates[name] = round(seen.get["rows"] / seconds[name], 1)
+        print(name, seconds[name], f"{rates[name]} rows/s", file=sys.stderr, flush=True)
     spark.stop()
     print(
         json.dumps(
@@ -59,6 +65,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "rows_per_second": rates,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
