@@ -18,6 +18,15 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other node, and that one on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where("hangs + holds > 1").isEmpty()
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """``(u, v)``: each node that is not the least of its component, with that least node.
 
@@ -26,12 +35,7 @@ def stars(edges: DataFrame) -> DataFrame:
     """
     greater, less = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = materialise(edges.dropna().where("u <> v").select(greater, less).distinct(), "links")
-    seen = None
-    while True:
-        size = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if (size["n"], size["x"]) == seen or size["n"] == 0:
-            return now
-        seen = (size["n"], size["x"])
+    while not _is_done(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         down = _star(large)
@@ -39,6 +43,7 @@ def stars(edges: DataFrame) -> DataFrame:
             down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         now = materialise(small.distinct(), "links")
+    return now
 
 
 def components(edges: DataFrame) -> DataFrame:

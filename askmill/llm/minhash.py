@@ -4,14 +4,14 @@
    minima are taken; bands of ``rows`` whole minima give candidate keys, the low
    ``BITS`` bits of all minima are packed into the signature.
 2. Documents with equal sets are one class; only its representative goes on.
-3. Representatives that share a band key are candidates. Each is paired with the
-   least one of its key, not with all others. The bit counts of two signatures
-   give the share of equal minima; corrected for chance agreement of low bits it
-   estimates the similarity, and pairs five deviations below the threshold are
-   left. All others are compared on their full sets.
+3. Representatives that share a band key are candidates. Each is first paired with
+   one other only, the least document of most of its keys. The bit counts of two
+   signatures give the share of equal minima; corrected for chance agreement of
+   low bits it estimates the similarity, and pairs five deviations below the
+   threshold are left. All others are compared on their full sets.
 4. A key whose documents are then still in several components is searched again,
-   in cells of bounded size, for pairs across components, best estimates first,
-   until no such pair is left. So a pair is only skipped if its documents are
+   in cells of bounded size, for pairs across components, the best estimates of
+   each two components first, until no such pair is left. So a pair is only skipped if its documents are
    linked already, and a large group costs about one comparison a document.
 
 The probability that a pair at similarity 0.8 shares no key is below 1e-5 with
@@ -42,7 +42,7 @@ from askmill.session import materialise
 BITS = 4
 #: Rows of a cell, the unit in which large keys are searched.
 CELL = 512
-#: Best pairs of a document and a component that the first search of keys tries; each further one tries more.
+#: Best pairs of two components that the first search of keys tries; each further one tries sixteen times as many.
 FIRST_TRIES = 8
 _WORDS = 300_000
 _SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<bigint>, keys array<bigint>"
@@ -182,7 +182,7 @@ def _differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _search(cut: float, hashes: int, low: int, high: int):
-    """Pairs across components in each cell: of each document and component the estimates ranked from ``low`` up to ``high``."""
+    """Pairs across components in each cell: of each two components the estimates ranked from ``low`` up to ``high``."""
     most = hashes * (1 - 2.0**-BITS) * (1 - cut)
 
     def cell(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +196,11 @@ def _search(cut: float, hashes: int, low: int, high: int):
         if inside:
             p, q = p[p < q], q[p < q]
         differing, p, q = differing[p, q], left[p], right[q]
-        order = np.lexsort((node[q], differing, first[q], p))
-        p, q = p[order], q[order]
-        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (first[q[1:]] != first[q[:-1]])]) if len(p) else np.zeros(0, int)
+        one, other = np.minimum(first[p], first[q]), np.maximum(first[p], first[q])
+        order = np.lexsort((node[q], node[p], differing, other, one))
+        p, q, one, other = p[order], q[order], one[order], other[order]
+        changes = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
+        start = np.flatnonzero(np.r_[True, changes]) if len(p) else np.zeros(0, int)
         rank = np.arange(len(p)) - np.repeat(start, np.diff(np.r_[start, len(p)]))
         keep = (rank >= low) & (rank < high) & (now[p] != now[q])
         return node[p[keep]], node[q[keep]]
@@ -228,22 +230,23 @@ class _Linker:
     def __init__(self, source: DataFrame, words: int, percent: int) -> None:
         self.source, self.words, self.percent = source, words, percent
         self.spark: SparkSession = source.sparkSession
-        self.links = self.spark.createDataFrame([], "u bigint, v bigint")
+        # The constant filter tells the optimizer that there are none, so joins with them vanish.
+        self.links = self.spark.createDataFrame([], "u bigint, v bigint").where(F.lit(False))
 
     def label(self, df: DataFrame, node: str, label: str) -> DataFrame:
         """``df`` with the component of its column ``node``."""
         named = self.links.select(F.col("u").alias(node), F.col("v").alias("__least"))
         return df.join(named, node, "left").withColumn(label, F.coalesce("__least", node)).drop("__least")
 
-    def add(self, pairs: DataFrame) -> None:
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """The full sets of all documents of the pairs, stored."""
+        needed = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+        texts = self.source.join(broadcast_if_small(needed, rows=1_000_000), "doc_id", "left_semi")
+        return materialise(texts.mapInArrow(_sets(self.words), "node bigint, shingles array<bigint>"), "sets")
+
+    def add(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Compare the pairs ``(u, v)`` whose documents are not linked yet, on full sets."""
         apart = self.label(self.label(pairs, "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v").distinct()
-        apart = materialise(apart, "pairs")
-        if apart.isEmpty():
-            return
-        needed = apart.select(F.col("u").alias("doc_id")).unionByName(apart.select(F.col("v").alias("doc_id"))).distinct()
-        texts = self.source.join(broadcast_if_small(needed, rows=1_000_000), "doc_id", "left_semi")
-        sets = materialise(texts.mapInArrow(_sets(self.words), "node bigint, shingles array<bigint>"), "sets")
         one, other = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("u", "v"))
         both = F.size(F.array_intersect("su", "sv")).cast("bigint")
         joined = apart.join(one, "u").join(other, "v")
@@ -276,13 +279,15 @@ def near_duplicates(
     members = materialise(keyed.join(shared, "key"), "members")
     signatures = classes.select("node", "signature")
     one, other = (signatures.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}")) for n in ("u", "v"))
-    pairs = members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    # Of the least documents of its keys, each document is first compared with the one that most keys name.
+    named = members.where("node <> least").groupBy("node", "least").agg(F.count("*").alias("n"))
+    most = named.groupBy("node").agg(F.max(F.struct("n", (-F.col("least")).alias("less"))).alias("most"))
+    pairs = most.select((-F.col("most.less")).alias("u"), F.col("node").alias("v"))
     likely = pairs.join(one, "u").join(other, "v").where(estimate("su", "sv", hashes) >= cut).select("u", "v")
     likely = materialise(likely, "likely")
     linker = _Linker(source, words, percent)
-    linker.add(likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    linker.add(likely)
-    _search_keys(linker, members.where("n > 2"), signatures, cut, hashes)
+    linker.add(likely, linker.sets(likely))
+    _search_keys(linker, members, signatures, cut, hashes)
     placed = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
         classes.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left"
     )
@@ -313,7 +318,7 @@ def _search_keys(linker: _Linker, members: DataFrame, signatures: DataFrame, cut
         searched = ordered.sortWithinPartitions("key", "i", "j").mapInArrow(_search(cut, hashes, low, high), "u bigint, v bigint")
         found = materialise(searched.distinct(), "found")
         if found.isEmpty():
-            # A document and a component with deeper ranks would have had pairs at these.
+            # Two components with deeper ranks would have had pairs at these.
             return
-        linker.add(found)
+        linker.add(found, linker.sets(found))
         low, high = high, high * 16
