@@ -11,7 +11,7 @@
    threshold are left. All others are compared on their full sets.
 4. A key whose documents are then still in several components is searched again,
    in cells of bounded size, for pairs across components, the best estimates of
-   each two components first, until no such pair is left. So a pair is only skipped if its documents are
+   each document first, until no such pair is left. So a pair is only skipped if its documents are
    linked already, and a large group costs about one comparison a document.
 
 The probability that a pair at similarity 0.8 shares no key is below 1e-5 with
@@ -42,8 +42,8 @@ from askmill.session import materialise
 BITS = 4
 #: Rows of a cell, the unit in which large keys are searched.
 CELL = 512
-#: Best pairs of two components that the first search of keys tries; each further one tries sixteen times as many.
-FIRST_TRIES = 8
+#: Best pairs of a document that the first search of a cell tries; each further one tries sixteen times as many.
+FIRST_TRIES = 2
 _WORDS = 300_000
 _SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<bigint>, keys array<bigint>"
 
@@ -182,7 +182,7 @@ def _differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _search(cut: float, hashes: int, low: int, high: int):
-    """Pairs across components in each cell: of each two components the estimates ranked from ``low`` up to ``high``."""
+    """Pairs across components in each cell: of each document the estimates ranked from ``low`` up to ``high``."""
     most = hashes * (1 - 2.0**-BITS) * (1 - cut)
 
     def cell(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +196,9 @@ def _search(cut: float, hashes: int, low: int, high: int):
         if inside:
             p, q = p[p < q], q[p < q]
         differing, p, q = differing[p, q], left[p], right[q]
-        one, other = np.minimum(first[p], first[q]), np.maximum(first[p], first[q])
-        order = np.lexsort((node[q], node[p], differing, other, one))
-        p, q, one, other = p[order], q[order], one[order], other[order]
-        changes = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
-        start = np.flatnonzero(np.r_[True, changes]) if len(p) else np.zeros(0, int)
+        order = np.lexsort((node[q], differing, p))
+        p, q = p[order], q[order]
+        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, int)
         rank = np.arange(len(p)) - np.repeat(start, np.diff(np.r_[start, len(p)]))
         keep = (rank >= low) & (rank < high) & (now[p] != now[q])
         return node[p[keep]], node[q[keep]]
@@ -312,13 +310,12 @@ def _search_keys(linker: _Linker, members: DataFrame, signatures: DataFrame, cut
         "key", F.least("half", "other").alias("i"), F.greatest("half", "other").alias("j"), "node", "first", "half"
     )
     low, high = 0, FIRST_TRIES
-    while True:
+    # A document has fewer pairs in a cell than the cell has rows on its other side.
+    while low < 2 * CELL:
         now = linker.label(cells, "node", "now").join(signatures, "node")
         ordered = now.select("key", "i", "j", "node", "first", "now", "half", "signature").repartition("key", "i", "j")
         searched = ordered.sortWithinPartitions("key", "i", "j").mapInArrow(_search(cut, hashes, low, high), "u bigint, v bigint")
         found = materialise(searched.distinct(), "found")
-        if found.isEmpty():
-            # Two components with deeper ranks would have had pairs at these.
-            return
-        linker.add(found, linker.sets(found))
+        if not found.isEmpty():
+            linker.add(found, linker.sets(found))
         low, high = high, high * 16
