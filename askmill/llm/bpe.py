@@ -15,6 +15,9 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
+from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -78,6 +81,19 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     )
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
+def is_word(piece: str) -> bool:
+    """Letters of Latin scripts only."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < "ɐ")
+
+
 class _Memory(dict):
     """Ids by piece. When it is full, the pieces met since the last time stay one round longer."""
 
@@ -119,12 +135,12 @@ class PieceEncoder:
         return _loaded[key]
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str, before: str) -> bytes:
         """The ids of Latin letters after an optional space: one piece of the pattern."""
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-        return np.asarray(self.single.encode(before + shown, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return packed(self.single.encode(before + shown, add_special_tokens=False).ids)
 
     def _parts(self, memory: _Memory, piece: str) -> bytes | None:
         """The ids of ``piece`` from its parts, where it has a safe cut."""
@@ -137,7 +153,7 @@ class PieceEncoder:
         return None
 
     def _spaced(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < "ɐ":
+        if is_word(piece):
             return self._word(piece, self.space)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _OddSpace
@@ -145,7 +161,7 @@ class PieceEncoder:
         return self.whole(" " + piece) if parts is None else parts
 
     def _bare(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < "ɐ":
+        if is_word(piece):
             return self._word(piece, "")
         parts = self._parts(self.bare, piece)
         return self.whole(piece) if parts is None else parts
@@ -153,11 +169,12 @@ class PieceEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
+        pieces = text.split(" ")
+        first = pieces[0]
         try:
             if first and first[-1].isspace():
                 raise _OddSpace
-            return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+            return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, islice(pieces, 1, None)))
         except _OddSpace:
             first, *rest = _PLAIN_CUT.split(text)
             return self.whole(first) + b"".join([self._odd(piece) for piece in rest])

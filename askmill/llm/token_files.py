@@ -31,7 +31,7 @@ from askmill.llm.bpe import PieceEncoder
 from askmill.operators.dimensions import broadcast_if_small
 from askmill.session import scratch_path
 
-#: Longest code word in bits; the decoding table has two to this power entries.
+#: Longest code word in bits, at most 27; the decoding table has two to this power entries, of ids below 2**27.
 MAX_BITS = 18
 #: Ids of a block between two checkpoints.
 BLOCK = 256
@@ -90,12 +90,11 @@ class Code:
         self.words[self.order] = (first >> (self.bits - size)).astype(np.uint64)
         self.room = room
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """The id and the length of the word that starts each string of ``bits`` bits."""
+    def table(self) -> np.ndarray:
+        """For each string of ``bits`` bits the id of the word that starts it, and the word's length in the low five bits."""
         pad = (1 << self.bits) - int(self.room.sum())
-        ids = np.concatenate([np.repeat(self.order, self.room), np.zeros(pad, dtype=np.int64)]).astype("<u4")
-        sizes = np.repeat(self.lengths[self.order], self.room)
-        return ids, np.concatenate([sizes, np.ones(pad, dtype=np.int64)]).astype(np.int64)
+        entries = np.repeat(self.order << 5 | self.lengths[self.order], self.room)
+        return np.concatenate([entries, np.ones(pad, dtype=np.int64)]).astype(np.uint32)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of the ids, and the bit offset of each block."""
@@ -114,20 +113,20 @@ class Code:
         return packed.astype(">u4").tobytes()[: int(end[-1] + 7) >> 3], start[::BLOCK].astype(np.int32)
 
 
-def decode_segment(table: tuple[np.ndarray, np.ndarray], bits: int, payload: bytes, checkpoints, n: int) -> np.ndarray:
+def decode_segment(table: np.ndarray, bits: int, payload: bytes, checkpoints, n: int) -> np.ndarray:
     """The ``n`` ids of a segment: a step reads one id of every block."""
     if n == 0:
         return np.zeros(0, dtype="<u4")
-    symbols, sizes = table
     octets = np.frombuffer(payload + bytes(4 + BLOCK * bits // 8 + 8), dtype=np.uint8).astype(np.uint32)
     window = (octets[:-3] << 24) | (octets[1:-2] << 16) | (octets[2:-1] << 8) | octets[3:]
-    at = np.asarray(checkpoints, dtype=np.int64)
+    at = np.array(checkpoints, dtype=np.int64)
     out = np.empty((min(BLOCK, n), len(at)), dtype="<u4")
     shift = np.uint32(32 - bits)
     for step in range(len(out)):
-        seen = (window[at >> 3] << (at & 7).astype(np.uint32)) >> shift
-        out[step] = symbols[seen]
-        at = at + sizes[seen]
+        found = table[(window[at >> 3] << (at & 7).astype(np.uint32)) >> shift]
+        out[step] = found
+        at += found & 31
+    out >>= 5
     # Only the last block may be short.
     return out.T.reshape(-1)[:n] if len(out) == BLOCK else out[:, 0][:n]
 
@@ -162,15 +161,20 @@ def _narrow(ids: bytes) -> bytes:
     return b"\2" + wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else b"\4" + ids
 
 
-def _wide(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored, dtype="<u2" if stored[:1] == b"\2" else "<u4", offset=1).astype(np.int64)
+def _wide(stored: list[bytes]) -> np.ndarray:
+    """The ids of all rows, one after the other."""
+    if all(x[:1] == b"\2" for x in stored):
+        return np.frombuffer(b"".join([x[1:] for x in stored]), dtype="<u2").astype(np.int64)
+    return np.concatenate([np.frombuffer(x, dtype="<u2" if x[:1] == b"\2" else "<u4", offset=1) for x in stored]).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for stored in batch.column("ids").to_pylist():
-            seen = np.bincount(_wide(stored), minlength=len(total))
+        stored = batch.column("ids").to_pylist()
+        for mark, kind in ((b"\2", "<u2"), (b"\4", "<u4")):
+            joined = b"".join([x[1:] for x in stored if x[:1] == mark])
+            seen = np.bincount(np.frombuffer(joined, dtype=kind), minlength=len(total))
             seen[: len(total)] += total
             total = seen
     used = np.flatnonzero(total)
@@ -182,7 +186,7 @@ def _segments(shared):
         code, held, size, following = Code(shared.value), [], 0, None
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([_wide(row[5]) for row in held])
+            ids = _wide([row[5] for row in held])
             bits, checkpoints = code.encode(ids)
             row = [held[0][0], held[0][2], len(ids), bits, checkpoints.tolist(), [r[3] for r in held], [r[4] for r in held]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
