@@ -12,6 +12,8 @@ an output column, which is replaced.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,15 +107,28 @@ def judge_urls(pages: DataFrame, rules: list[Rule], model: LogisticRegressionMod
     )
 
 
-def labelled_urls(spark: SparkSession, bad: tuple[str, ...] = (), good: tuple[str, ...] = ()) -> DataFrame:
-    """A small table ``(url, label)``: every given name as a host, in several domains and paths."""
+#: Beginnings and ends of hosts, and paths, that say nothing about a URL; names of both labels get all ends alike.
+_STARTS = ("", "www.", "m.", "blog.", "shop.")
+_TOPS = ("com", "net", "org", "info", "co.uk", "de", "fr", "eu")
+_PLAIN_PATHS = ("", "/", "/index.html", "/page/2", "/2019/05/12/", "/p?id=40", "/home#top")
+
+
+def labelled_urls(
+    spark: SparkSession,
+    bad: tuple[str, ...] = (),
+    good: tuple[str, ...] = (),
+    bad_paths: tuple[str, ...] = (),
+    good_paths: tuple[str, ...] = (),
+) -> DataFrame:
+    """A small table ``(url, label)``: every given name as a host, under each of some top domains, with plain paths and one of its label."""
     rows = []
-    for i, (name, label) in enumerate([*((n, 1) for n in bad), *((n, 0) for n in good)]):
-        for k, top in enumerate(("com", "net", "org")):
-            prefix = ("", "www.", "m.", "blog.")[(i + k) % 4]
-            lang = ("en", "de", "fr", "es")[(i + 2 * k) % 4]
-            end = ("", "/", ".html", "?page=2", "#top")[(i + k) % 5]
-            rows.append((f"https://{prefix}{name}.example.{top}/{lang}/{37 * i + 100 * k + 5}{end}", label))
+    for names, paths, label in ((bad, bad_paths, 1), (good, good_paths, 0)):
+        for i, name in enumerate(names):
+            hosts = [f"https://{_STARTS[(i + k) % len(_STARTS)]}{name}.{top}" for k, top in enumerate(_TOPS)]
+            rows += [(host + _PLAIN_PATHS[(i + k) % len(_PLAIN_PATHS)], label) for k, host in enumerate(hosts)]
+            if paths:
+                rows.append((hosts[i % len(hosts)] + paths[i % len(paths)], label))
     rows.append(("", 0))
-    listed = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows])
+    # One literal: thousands of literals are slow to plan.
+    listed = F.from_json(F.lit(json.dumps([{"url": u, "label": y} for u, y in rows])), "array<struct<url:string,label:int>>")
     return spark.range(1, numPartitions=1).select(F.inline(listed))
