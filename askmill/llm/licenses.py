@@ -4,10 +4,9 @@ A text is cut into sentences, each is normalised, and a known one is replaced by
 its identifier. The sequence of identifiers is matched against ordered rules: a
 rule names a licence and the identifiers that must follow each other.
 
-Sentences end at a line break or at ``.``, ``!``, ``?``, ``;`` or ``:`` before a
-blank. Texts that wrap their lines are read a second time, with ends at empty
-lines only and other breaks as blanks; the reading that knows more sentences
-counts, the first one if both know as many.
+A text is cut at line breaks and at ``.``, ``!``, ``?``, ``;`` or ``:`` before a
+blank. A known sentence is any run of whole pieces that holds its words, so it is
+found on a line of its own, wrapped over lines, or both kinds in one text.
 
 A null or empty text has no licence. Repeated rows and null ids stay. An empty
 table gives an empty table. Texts are read whole. Other columns stay, except
@@ -24,6 +23,8 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUT = ["sentence_ids", "n_known", "licence"]
 
+#: Stands in a sentence for a name of one to twelve words.
+HOLDER = "zzholder"
 #: Sentences of public licences and of usual notices, by identifier.
 SENTENCES: dict[str, str] = {
     "mit-notice": "Released under the MIT License.",
@@ -97,18 +98,32 @@ def _normal(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(lowered, "[^a-z0-9.]+", " "), F.lit(" ."))
 
 
-def _unwrapped(text: Column) -> Column:
-    """Line breaks as blanks, and empty lines as line breaks."""
-    marked = F.regexp_replace(text, "\n[ \t\r]*\n", "\x01")
-    return F.translate(F.regexp_replace(marked, "[\r\n]+", " "), "\x01", "\n")
+def _parts(sentence: str) -> str:
+    """A known sentence cut and normalised as :func:`_cut` does with a text."""
+    return "\n".join(p for p in map(normal, re.sub("([.!?;:])[ \t\r]+", r"\1\n", sentence).split("\n")) if p)
 
 
-def _known(text: Column, sentences: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+def _cut(text: Column) -> Column:
+    """The normalised pieces of a text, a line each; pieces end where lines or sentences do."""
     marked = F.regexp_replace(text, "([.!?;:])[ \t\r]+", "$1\n")
-    cut = F.filter(F.split(marked, "\n"), lambda s: F.length(s) > 0)
-    table = F.create_map(*[F.lit(v) for name, s in sentences.items() for v in (normal(s), name)])
-    return F.filter(F.transform(cut, lambda s: F.element_at(table, _normal(s))), lambda name: name.isNotNull())
+    return F.array_join(F.filter(F.transform(F.split(marked, "\n"), _normal), lambda s: F.length(s) > 0), "\n")
+
+
+def _known(text: Column, sentences: dict[str, str]) -> Column:
+    """Identifiers of the known sentences of a text by their place; of two that begin at one place, the longer."""
+    keys = {_parts(s).replace("\n", " "): name for name, s in sentences.items()}
+    listed = sorted(keys, key=lambda k: (-len(k), k))
+    forms = {k: k.replace(".", "[.]").replace(" ", "[ \n]").replace(HOLDER, "[a-z0-9.]+(?:[ \n][a-z0-9.]+){0,11}") for k in listed}
+    pattern = "(?m)^(?:" + "|".join(forms.values()) + ")$"
+    table = F.create_map(*[F.lit(v) for pair in keys.items() for v in pair])
+    found = F.regexp_extract_all(_cut(text), F.lit(pattern), F.lit(0))
+    named = [k for k in listed if HOLDER in k]
+    return F.transform(
+        found,
+        lambda s: F.coalesce(
+            F.element_at(table, F.translate(s, "\n", " ")), *[F.when(s.rlike(f"^(?:{forms[k]})$"), F.lit(keys[k])) for k in named]
+        ),
+    )
 
 
 def with_licence(
@@ -119,17 +134,11 @@ def with_licence(
     ``sentences`` and ``rules`` are lists that people write; they are part of the plan.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
-    if len({normal(s) for s in sentences.values()}) < len(sentences):
+    if len({_parts(s).replace("\n", " ") for s in sentences.values()}) < len(sentences):
         raise ValueError("two sentences are equal once they are normalised")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     passed = [F.col(f"`{c}`") for c in df.columns if c not in _OUT]
-    both = F.struct(
-        _known(body, sentences).alias("lines"), _known(_unwrapped(body), sentences).alias("wrapped")
-    )
-    chosen = F.transform(
-        F.array(both), lambda b: F.when(F.size(b["wrapped"]) > F.size(b["lines"]), b["wrapped"]).otherwise(b["lines"])
-    )
-    read = df.select(*passed, F.element_at(chosen, 1).alias("__known"))
+    read = df.select(*passed, _known(body, sentences).alias("__known"))
     listed = F.concat(F.lit(","), F.concat_ws(",", "__known"), F.lit(","))
     licence = F.coalesce(*[F.when(F.contains(listed, F.lit(f",{','.join(ids)},")), F.lit(name)) for name, ids in rules])
     return read.select(

@@ -305,6 +305,25 @@ def test_licences(spark):
     assert [r.n_known for r in found] == [len([x for x in c[1].split(",") if x]) for c in cases]
 
 
+def test_every_licence_sentence_and_rule_is_found(spark):
+    """Alone and in a text that also holds wrapped and one-line forms."""
+    sentences = licenses.SENTENCES
+    wrapped = "\n\n".join(re.sub(r"(.{60}\S*) ", r"\1\n", sentences[f"mit-{part}"]) for part in ("grant", "keep", "warranty"))
+    lines = "\n".join(f"Heading\n{sentences[n]}" for n in ("reserved", "cc-by-notice", "gpl2-notice", "bsd2-notice"))
+    mit, notices = ["mit-grant", "mit-keep", "mit-warranty"], ["reserved", "cc-by-notice", "gpl2-notice", "bsd2-notice"]
+    cases = [([n], None, s) for n, s in sentences.items()]
+    cases += [([n], None, re.sub(r"(.{30}\S*) ", r"\1\n# ", s)) for n, s in sentences.items()]
+    cases += [(list(ids), name, "\n\n".join(sentences[i] for i in ids)) for name, ids in licenses.RULES]
+    bsd = {n: s.replace(licenses.HOLDER, "Foo Inc. and the Bar Group") for n, s in sentences.items() if n.startswith("bsd-")}
+    ids = ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"] if bsd else []
+    cases += [(ids, "BSD-3-Clause", "\n\n".join(bsd[i] for i in ids))] * bool(bsd)
+    cases += [(mit + notices, "MIT", f"{wrapped}\n\n{lines}"), (notices + mit, "MIT", f"{lines}\n\n{wrapped}")]
+    df = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "doc_id bigint, text string")
+    for r in licenses.with_licence(df).collect():
+        ids, name, _ = cases[r.doc_id]
+        assert r.sentence_ids.split(",") == ids and name in (None, r.licence), r
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
