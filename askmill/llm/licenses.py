@@ -58,12 +58,57 @@ SENTENCES: dict[str, str] = {
     "cc-by-nc-sa-notice": "Licensed under CC BY-NC-SA 4.0.",
     "cc0-notice": "Licensed under CC0 1.0.",
     "reserved": "All rights reserved.",
+    "mit-liability": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action"
+    " of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+    "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an"
+    ' "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl2-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    **{
+        f"{name}-grant": f"you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by"
+        f" the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+        for name, kind, version in (("gpl3", "", 3), ("gpl2", "", 2), ("lgpl3", "Lesser ", 3), ("agpl3", "Affero ", 3))
+    },
+    "gnu-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty"
+    " of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met:",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+    " disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-endorse": f"Neither the name of {HOLDER} nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    **{
+        f"cc-{kind}-work": f"This work is licensed under a Creative Commons {title} 4.0 International License."
+        for kind, title in (
+            ("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"),
+            ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+        )
+    },
+    "cc0-waived": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or"
+    " neighboring rights to this work.",
 }
 
 #: Rules in order, the first that matches names the licence.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit-grant", "mit-keep", "mit-warranty")),
     ("Apache-2.0", ("apache-grant", "apache-comply")),
+    ("GPL-3.0", ("gpl3-grant",)),
+    ("GPL-2.0", ("gpl2-grant",)),
+    ("LGPL-3.0", ("lgpl3-grant",)),
+    ("AGPL-3.0", ("agpl3-grant",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-work",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-work",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
+    ("CC-BY-4.0", ("cc-by-work",)),
+    ("CC0-1.0", ("cc0-waived",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
     ("MIT", ("mit-notice-3",)),
