@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import byte_bpe, embedding_dedup, licenses, minhash, packing, quality, sharding, token_files, toxicity, url_filter
+from askmill.llm import (
+    byte_bpe,
+    embedding_dedup,
+    licenses,
+    minhash,
+    packing,
+    prefix_trie,
+    quality,
+    sharding,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from askmill.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -155,6 +167,10 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.RULE_COLUMNS, "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"), group=5, kept=9)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -166,4 +182,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_host_quality": op10_host_quality,
+    "op11_prefix_trie": op11_prefix_trie,
 }
