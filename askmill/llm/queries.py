@@ -12,6 +12,7 @@ from askmill.llm import (
     licenses,
     minhash,
     packing,
+    piece_bpe,
     prefix_trie,
     quality,
     sharding,
@@ -23,6 +24,7 @@ from askmill.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,6 +173,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"), group=5, kept=9)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_bpe.encode_decode(docs, piece_bpe.load_model(public_tokenizers.path(PIECE_BPE)))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -183,4 +193,5 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_host_quality": op10_host_quality,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_sentencepiece": op12_sentencepiece,
 }
