@@ -10,6 +10,7 @@ from askmill.llm import (
     byte_bpe,
     embedding_dedup,
     licenses,
+    merkle,
     minhash,
     packing,
     piece_bpe,
@@ -181,6 +182,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tamper_every=7)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -194,4 +199,5 @@ QUERIES = {
     "op10_host_quality": op10_host_quality,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
