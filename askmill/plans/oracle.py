@@ -228,6 +228,8 @@ SELECT query_id, rank, id, round(sim, 6) AS sim
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id)::int AS rank FROM sims)
 WHERE rank <= 4""",
     "retrieve_chunks": _hits("benchmark", "item_id", "text") + " SELECT * FROM hits",
+    # The inverted index finds the same hits as the dense search.
+    "retrieve_inverted": _hits("benchmark", "item_id", "text") + " SELECT * FROM hits",
     "rag_context": _hits("benchmark", "item_id", "text") + " SELECT * FROM contexts",
     "rag_prompt": _hits(_TURNS, "query_id", "text")
     + f""" SELECT query_id, {_rendered(RAG_TEMPLATE, {"context": "context", "question": "t.text"})} AS prompt

@@ -30,6 +30,7 @@ from askmill.operators.judge import (
 )
 from askmill.operators.latest import latest_per_key, not_yet_judged
 from askmill.operators.report import averages, comparison, model_report, relabelled, report_rows
+from askmill.operators.inverted import retrieve_inverted
 from askmill.operators.retrieve import nearest, retrieve, stuff_context
 from askmill.operators.routes import route_questions
 from askmill.operators.tools import FAILED, weather_tool
@@ -118,6 +119,12 @@ def q_retrieve_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark_hits(spark, sf_dir).withColumn("sim", F.round("sim", 6))
 
 
+def q_retrieve_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = retrieve_inverted(questions, build_index(chunks(spark, sf_dir), EMBEDDER), EMBEDDER)
+    return hits.withColumn("sim", F.round("sim", 6))
+
+
 def q_rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuff_context(_benchmark_hits(spark, sf_dir))
 
@@ -491,6 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hash_embed_norm": q_hash_embed_norm,
     "knn_top4": q_knn_top4,
     "retrieve_chunks": q_retrieve_chunks,
+    "retrieve_inverted": q_retrieve_inverted,
     "rag_context": q_rag_context,
     "rag_prompt": q_rag_prompt,
     "qa_pairs": q_qa_pairs,
