@@ -226,6 +226,15 @@ WITH sims AS (
   FROM embeddings q, embeddings c)
 SELECT query_id, rank, id, round(sim, 6) AS sim
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id)::int AS rank FROM sims)
+WHERE rank <= 4""",
+    # The clustered search finds the same hits as the full one.
+    "knn_clustered": """
+WITH sims AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id,
+         list_cosine_similarity(q.embedding::double[], c.embedding::double[]) AS sim
+  FROM embeddings q, embeddings c)
+SELECT query_id, rank, id, round(sim, 6) AS sim
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id)::int AS rank FROM sims)
 WHERE rank <= 4""",
     "retrieve_chunks": _hits("benchmark", "item_id", "text") + " SELECT * FROM hits",
     # The inverted index finds the same hits as the dense search.

@@ -30,6 +30,7 @@ from askmill.operators.judge import (
 )
 from askmill.operators.latest import latest_per_key, not_yet_judged
 from askmill.operators.report import averages, comparison, model_report, relabelled, report_rows
+from askmill.operators.clustered import nearest_clustered
 from askmill.operators.inverted import retrieve_inverted
 from askmill.operators.retrieve import nearest, retrieve, stuff_context
 from askmill.operators.routes import route_questions
@@ -110,6 +111,15 @@ def q_knn_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(queries, index, k=4).withColumn("sim", F.round("sim", 6))
 
 
+def q_knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``knn_top4`` with index blocks clustered by direction and skipped by angle bounds."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("norm", vector_norm(F.col("embedding")))
+    index = vectors.select(F.col("vec_id").alias("id"), "embedding", "norm")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", "norm")
+    hits, _, _ = nearest_clustered(queries, index, k=4, clusters=64)
+    return hits.withColumn("sim", F.round("sim", 6))
+
+
 def _benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieve(questions, build_index(chunks(spark, sf_dir), EMBEDDER), EMBEDDER)
@@ -497,6 +507,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_hash_buckets": q_word_hash_buckets,
     "hash_embed_norm": q_hash_embed_norm,
     "knn_top4": q_knn_top4,
+    "knn_clustered": q_knn_clustered,
     "retrieve_chunks": q_retrieve_chunks,
     "retrieve_inverted": q_retrieve_inverted,
     "rag_context": q_rag_context,
