@@ -1,135 +1,143 @@
 """Nearest chunks of each question, exact, by an inverted index of non-negative vectors.
 
-The index is kept as postings: one row ``(bucket, id, weight)`` for each
-non-zero component of a chunk vector, ``weight`` being the component over the
-vector's length, and for each bucket the greatest weight of its list. A
-question then needs only some lists: its bucket ``b`` can add at most
-``q_b * greatest_b`` to any chunk's cosine. Ordering its lists by that bound,
-the shortest run of small ones whose bounds sum below a floor ``tau`` can
-only hold chunks that score under ``tau``; the other lists are essential, and
-only chunks found in them are scored, in full, by their vectors. ``tau`` is a
-true lower bound of the question's ``k``-th best: the ``k``-th best exact
-score among the few chunks of greatest weight in each of its lists.
+The index is dealt into blocks, and each block is kept as postings: for every
+bucket the list of its rows ``(row, weight)``, ``weight`` being the component
+over the vector's length, and the greatest weight of the list. A question then
+needs only some lists: its bucket ``b`` can add at most ``q_b * greatest_b`` to
+any chunk's cosine. Ordering its lists by that bound, the shortest run of small
+ones whose bounds sum below a floor ``tau`` can only hold chunks that score
+under ``tau``; the other lists are essential. Their weights are summed list by
+list, and only chunks whose sum and the bounds left out reach ``tau`` are
+scored, in full, by their vectors. ``tau`` is a true lower bound of the
+question's ``k``-th best in the block: the ``k``-th best exact score among the
+few chunks of greatest weight in each of its lists.
 
 All components must be non-negative (word counts are). Chunks that share no
 bucket with a question score 0 and come after all others, chunks without
 length score NULL and come last; the smallest ids fill a question's ``k``
 places from them when fewer chunks score above 0. The result equals that of
-:func:`askmill.operators.retrieve.nearest`. A bucket whose list is long is
-split into parts by a hash of the chunk, and its questions are sent to every
-part, so no list is held by one task.
+:func:`askmill.operators.retrieve.nearest`, whose work items bring the blocks
+together: postings live in the task that searches them and are never shuffled,
+what leaves an item is ``k`` rows per question, and no list is longer than a
+block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from askmill.operators.retrieve import TIE_DECIMALS
-from askmill.session import materialise
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-#: Postings of one bucket a part holds at most, before the bucket is split.
+from askmill.operators.retrieve import TIE_DECIMALS, _matrix, _search
+
+#: Postings of one bucket a block holds at most.
 PART_ROWS = 200_000
+#: Bytes of vectors in a block; its postings take about as many again.
+BLOCK_BYTES = 16 << 20
 #: A floor a little under ``tau``, so that rounding to ``TIE_DECIMALS`` cannot lose a tie.
 SLACK = 1e-7
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """``(bucket, id, weight)`` for every non-zero component of every vector of length above 0."""
-    rows = index.where(F.col("embedding").isNotNull() & (F.col("norm") > 0)).select(
-        "id", "norm", F.posexplode("embedding").alias("bucket", "value")
-    )
-    return rows.where(F.col("value") != 0).select("bucket", "id", (F.col("value") / F.col("norm")).alias("weight"))
-
-
-def _dot(left: str, right: str) -> F.Column:
-    return F.aggregate(F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, x: t + x)
-
-
-def nearest_inverted(queries: DataFrame, index: DataFrame, k: int = 4) -> DataFrame:
+class _Lists:
+    """The postings of a block: rows and weights, bucket after bucket."""
+
+    def __init__(self, vectors: np.ndarray, norms: np.ndarray, k: int) -> None:
+        has_length = np.flatnonzero(norms > 0)
+        # Bucket by bucket, so that each list is one slice.
+        bucket, at = np.nonzero(vectors[has_length].T)
+        self.rows = has_length[at]
+        self.weights = vectors[self.rows, bucket] / norms[self.rows]
+        self.starts = np.searchsorted(bucket, np.arange(vectors.shape[1] + 1))
+        self.greatest = np.zeros(vectors.shape[1])
+        self.heads = []
+        for b in range(vectors.shape[1]):
+            rows, weights = self.of(b)
+            head = np.argpartition(weights, -k)[-k:] if len(weights) > k else slice(None)
+            self.heads.append(rows[head])
+            self.greatest[b] = weights.max(initial=0.0)
+
+    def of(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.starts[bucket], self.starts[bucket + 1])
+        return self.rows[own], self.weights[own]
+
+
+class _ListSearch:
+    """Runs in a task: the best ``k`` chunks of an index block for each question, by the block's lists."""
+
+    def __init__(self, shared, k: int) -> None:
+        self.shared, self.k = shared, k
+
+    def _candidates(self, lists: _Lists, query: np.ndarray, norm: float, scores) -> np.ndarray:
+        """Rows that may be among the best ``k`` scores above 0."""
+        terms = np.flatnonzero(query)
+        if not len(terms):
+            return terms
+        bounds = query[terms] / norm * lists.greatest[terms]
+        first = np.unique(np.concatenate([lists.heads[b] for b in terms]))
+        tau = np.partition(scores(first), -self.k)[-self.k] - SLACK if len(first) >= self.k else -np.inf
+        order = np.lexsort((terms, bounds))
+        reach = np.cumsum(bounds[order])
+        spared = int(np.searchsorted(reach, tau, side="left"))
+        sums = np.zeros(len(self.norms))
+        for b in terms[order[spared:]]:
+            rows, weights = lists.of(b)
+            sums[rows] += weights * (query[b] / norm)
+        rest = reach[spared - 1] if spared else 0.0
+        return np.flatnonzero((sums > 0) & (sums + rest >= tau - SLACK))
+
+    def _best(self, lists: _Lists, query: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and similarities of the block's best; NaN where a vector has no length."""
+        if not norm > 0:
+            rows = self.by_id[: self.k]
+            return rows, np.full(len(rows), np.nan)
+
+        def scores(rows: np.ndarray) -> np.ndarray:
+            return (self.vectors[rows] @ query) / (norm * self.norms[rows])
+
+        found = self._candidates(lists, query, norm, scores)
+        sims = scores(found)
+        best = np.lexsort((self.place[found], -np.round(sims, TIE_DECIMALS)))[: self.k]
+        found, sims = found[best], sims[best]
+        if len(found) < self.k:
+            # Places left: chunks that share no bucket, then chunks without length, by id.
+            unused = np.ones(len(self.norms), dtype=bool)
+            unused[found] = False
+            spare = self.by_id[unused[self.by_id]]
+            zero = self.norms[spare] > 0
+            more = np.concatenate([spare[zero][: self.k], spare[~zero][: self.k]])[: self.k - len(found)]
+            found = np.concatenate([found, more])
+            sims = np.concatenate([sims, np.where(self.norms[more] > 0, 0.0, np.nan)])
+        return found, sims
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries, q_norms = self.shared.value
+        block = pa.Table.from_batches(batches)
+        ids = block.column("id").combine_chunks()
+        self.norms = np.nan_to_num(np.asarray(block.column("norm").combine_chunks(), dtype=np.float64))
+        self.vectors = _matrix(block.column("embedding").combine_chunks())
+        self.by_id = np.argsort(np.asarray(ids.to_pylist()), kind="stable")
+        self.place = np.empty(len(ids), dtype=np.int64)
+        self.place[self.by_id] = np.arange(len(ids))
+        lists = _Lists(self.vectors, self.norms, self.k)
+        hits = [self._best(lists, query, norm) for query, norm in zip(queries, q_norms)]
+        asked = np.repeat(np.arange(len(hits)), [len(rows) for rows, _ in hits])
+        rows, sims = (np.concatenate(side) for side in zip(*hits))
+        yield pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(asked)), ids.take(pa.array(rows)), pa.array(sims, mask=np.isnan(sims))],
+            names=["query_id", "id", "sim"],
+        )
+
+
+def nearest_inverted(queries: DataFrame, index: DataFrame, k: int = 4, dim: int | None = None) -> DataFrame:
     """``(query_id, rank, id, sim)``: the ``k`` chunks of highest cosine per question, as :func:`nearest` gives them.
 
     ``queries`` holds ``query_id, embedding, norm``, ``index`` holds ``id,
     embedding, norm``; all components at least 0. Rows without an embedding
-    take no part.
+    take no part. ``dim`` is the length of the vectors, if known.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    # Each side is read by several branches: stored once, so an embedder runs once a row.
-    chunks = materialise(
-        index.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").alias("c_vec"), F.col("norm").alias("c_norm")),
-        "chunk-vectors",
-    )
-    asked = materialise(
-        queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q_vec"), F.col("norm").alias("q_norm")),
-        "question-vectors",
-    )
-    posted = materialise(
-        postings(chunks.select("id", F.col("c_vec").alias("embedding"), F.col("c_norm").alias("norm"))), "postings"
-    )
-    lists = posted.groupBy("bucket").agg(F.max("weight").alias("greatest"), F.count(F.lit(1)).alias("size"))
-    lists = lists.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(PART_ROWS))).cast("int"))
-    parted = posted.join(F.broadcast(lists.select("bucket", "parts")), "bucket").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    )
-    terms = (
-        asked.where(F.col("q_norm") > 0)
-        .select("query_id", "q_norm", F.posexplode("q_vec").alias("bucket", "value"))
-        .where(F.col("value") != 0)
-        .join(F.broadcast(lists), "bucket")
-        .select("query_id", "bucket", "parts", (F.col("value") / F.col("q_norm") * F.col("greatest")).alias("bound"))
-    )
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """Exact cosines of distinct ``(query_id, id)`` pairs, as the dense search computes them."""
-        both = pairs.distinct().join(asked, "query_id").join(chunks, "id")
-        return both.select("query_id", "id", (_dot("q_vec", "c_vec") / (F.col("q_norm") * F.col("c_norm"))).alias("sim"))
-
-    # The floor: exact scores of the k chunks of greatest weight in each list of a question.
-    heads = posted.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "id")))
-    heads = heads.where(F.col("at") <= k).select("bucket", "id")
-    first = scored(terms.select("query_id", "bucket").join(heads, "bucket").select("query_id", "id"))
-    kth = Window.partitionBy("query_id").orderBy(F.col("sim").desc())
-    floor = first.withColumn("at", F.row_number().over(kth)).where(F.col("at") == k).select("query_id", (F.col("sim") - SLACK).alias("tau"))
-    # Lists by bound, smallest first: those whose running sum stays below the floor are not essential.
-    running = Window.partitionBy("query_id").orderBy("bound", "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    essential = (
-        terms.join(floor, "query_id", "left")
-        .withColumn("reach", F.sum("bound").over(running))
-        .where(F.col("tau").isNull() | (F.col("reach") >= F.col("tau")))
-        .select("query_id", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    )
-    found = scored(essential.join(parted, ["bucket", "part"]).select("query_id", "id"))
-    # Places left: chunks of score 0 (no shared bucket), then chunks without length, by id.
-    with_length = chunks.where(F.col("c_norm") > 0).select("id").orderBy("id").limit(2 * k)
-    without = chunks.where(~(F.col("c_norm") > 0) | F.col("c_norm").isNull()).select("id").orderBy("id").limit(k)
-    any_chunk = chunks.select("id").orderBy("id").limit(k)
-    spare_zero = [r["id"] for r in with_length.collect()]  # at most 2k ids
-    spare_null = [r["id"] for r in without.collect()]  # at most k ids
-    spare_any = [r["id"] for r in any_chunk.collect()]  # at most k ids
-
-    def filled(ids: list, sim) -> DataFrame:
-        if not ids:
-            return None
-        return asked.select("query_id", "q_norm", F.explode(F.array(*[F.lit(i) for i in ids])).alias("id"), sim.alias("sim"))
-
-    has_length = F.col("q_norm") > 0
-    parts = [found]
-    zero = filled(spare_zero, F.lit(0.0))
-    if zero is not None:
-        parts.append(zero.where(has_length).drop("q_norm").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti"))
-    null = filled(spare_null, F.lit(None).cast("double"))
-    if null is not None:
-        parts.append(null.where(has_length).drop("q_norm"))
-    blank = filled(spare_any, F.lit(None).cast("double"))
-    if blank is not None:
-        parts.append(blank.where(~has_length | F.col("q_norm").isNull()).drop("q_norm"))
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.round("sim", TIE_DECIMALS).desc_nulls_last(), F.col("id"))
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "sim")
+    return _search(queries, index, k, dim, BLOCK_BYTES, _ListSearch, PART_ROWS)[0]
 
 
 def retrieve_inverted(questions: DataFrame, index: DataFrame, embedder=None, text: str = "text", k: int = 4) -> DataFrame:
@@ -142,4 +150,5 @@ def retrieve_inverted(questions: DataFrame, index: DataFrame, embedder=None, tex
     from askmill.operators.vectors import embed
 
     embedder = embedder or HashingEmbedder()
-    return attach_text(nearest_inverted(embed(questions, text, embedder), index, k), index)
+    hits, n_hits = _search(embed(questions, text, embedder), index, k, embedder.dim, BLOCK_BYTES, _ListSearch, PART_ROWS)
+    return attach_text(hits, index, n_hits)

@@ -64,3 +64,13 @@ def test_lists_are_pruned(spark):
     asked = vectors(spark, [("q", [4, 1, 0, 0])], "query_id")
     hits = nearest_inverted(asked, vectors(spark, index, "id"), 3)
     assert [r.id for r in hits.orderBy("rank").collect()] == ["c0", "c1", "c2"]
+
+
+def test_no_posting_or_pair_is_a_row(spark):
+    # 30 questions and 400 chunks that all share a bucket: 12,000 pairs, 4 x 400 postings.
+    index = vectors(spark, [(f"c{i:03d}", [1 + i % 7, i % 5, i % 3, 1]) for i in range(400)], "id")
+    asked = vectors(spark, [(f"q{i:02d}", [1, i % 4, i % 6, 2]) for i in range(30)], "query_id")
+    hits = nearest_inverted(asked, index, 3, 4)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "(item#" in plan
+    assert listed(hits) == listed(nearest(asked, index, 3, 4))
