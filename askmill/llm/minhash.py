@@ -10,9 +10,11 @@
    low bits it estimates the similarity, and pairs five deviations below the
    threshold are left. All others are compared on their full sets.
 4. A key whose documents are then still in several components is searched again,
-   in cells of bounded size, for pairs across components, the best estimates of
-   each document first, until no such pair is left. So a pair is only skipped if its documents are
-   linked already, and a large group costs about one comparison a document.
+   in cells of bounded size, for pairs across components. Rows of a cell that
+   take part in such a pair get their full sets, and the task compares them all,
+   skipping pairs that are linked by then. Only links between components leave
+   it, fewer than the cell has rows: pairs never become rows, however many of
+   them are likely but no links.
 
 The probability that a pair at similarity 0.8 shares no key is below 1e-5 with
 the default 32 bands of 5 rows.
@@ -32,7 +34,7 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askmill.llm.components import stars
@@ -42,8 +44,11 @@ from askmill.session import materialise
 BITS = 4
 #: Rows of a cell, the unit in which large keys are searched.
 CELL = 512
-#: Best pairs of a document that the first search of a cell tries; each further one tries sixteen times as many.
-FIRST_TRIES = 2
+#: Documents that each is first compared with, of the least documents of its keys.
+FIRST_TRIES = 1
+#: Pairs whose keys are compared at a time, and rows of a batch that searched cells hand on.
+PAIRS, ROWS = 16_384, 10_000
+_LIKELY = "key bigint, i bigint, j bigint, node bigint, first bigint, half bigint"
 _WORDS = 300_000
 _SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<bigint>, keys array<bigint>"
 
@@ -181,43 +186,106 @@ def _differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
-def _search(cut: float, hashes: int, low: int, high: int):
-    """Pairs across components in each cell: of each document the estimates ranked from ``low`` up to ``high``."""
+def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, of batches sorted by ``key, i, j``."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        places = [np.asarray(batch.column(name)) for name in ("key", "i", "j")]
+        edges = [0, *(np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in places])) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            cell = tuple(int(x[start]) for x in places)
+            if held and cell != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = cell
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in a few larger ones."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _values(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the length of each list."""
+    lists = column.combine_chunks()
+    return np.asarray(lists.flatten()), np.asarray(lists.value_lengths(), dtype=np.int64)
+
+
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows on both sides of a cell, and whether the sides are the same."""
+    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    if i == j:
+        return np.arange(cell.num_rows), np.arange(cell.num_rows), True
+    half = np.asarray(cell.column("half"))
+    return np.flatnonzero(half == i), np.flatnonzero(half == j), False
+
+
+def _likely_rows(cut: float, hashes: int):
+    """The rows of each cell that are in a likely pair across components; a pair counts in the first of its common keys."""
     most = hashes * (1 - 2.0**-BITS) * (1 - cut)
 
-    def cell(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        node, first, now, half = (np.array([r[i] for r in rows], dtype=np.int64) for i in (3, 4, 5, 6))
-        packed = np.array([r[7] for r in rows], dtype=np.int64).view(np.uint64)
-        inside = rows[0][1] == rows[0][2]
-        left = np.arange(len(rows)) if inside else np.flatnonzero(half == rows[0][1])
-        right = left if inside else np.flatnonzero(half == rows[0][2])
-        differing = _differing(packed[left], packed[right])
-        p, q = np.nonzero((differing <= most) & (first[left][:, None] != first[right][None, :]))
-        if inside:
-            p, q = p[p < q], q[p < q]
-        differing, p, q = differing[p, q], left[p], right[q]
-        order = np.lexsort((node[q], differing, p))
-        p, q = p[order], q[order]
-        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, int)
-        rank = np.arange(len(p)) - np.repeat(start, np.diff(np.r_[start, len(p)]))
-        keep = (rank >= low) & (rank < high) & (now[p] != now[q])
-        return node[p[keep]], node[q[keep]]
+    def rows(cell: pa.Table) -> pa.RecordBatch:
+        first, (left, right, _) = np.asarray(cell.column("first")), _sides(cell)
+        packed, keys = (_values(cell.column(name))[0].reshape(cell.num_rows, -1) for name in ("signature", "keys"))
+        packed, key = packed.view(np.uint64), cell.column("key")[0].as_py()
+        likely = (_differing(packed[left], packed[right]) <= most) & (first[left][:, None] != first[right][None, :])
+        p, q = np.nonzero(likely)
+        p, q, found = left[p], right[q], np.zeros(cell.num_rows, dtype=bool)
+        for at in range(0, len(p), PAIRS):
+            a, b = p[at : at + PAIRS], q[at : at + PAIRS]
+            here = keys[a, (keys[a] == keys[b]).argmax(axis=1)] == key
+            found[a[here]] = found[b[here]] = True
+        taken = cell.select(["key", "i", "j", "node", "first", "half"]).filter(pa.array(found)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in taken.columns], names=taken.column_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        return _gathered(map(rows, _each_cell(batches)))
 
-        def flush() -> pa.RecordBatch:
-            u, v = cell(held)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+    return run
 
-        for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    yield flush()
-                    held = []
-                held.append(row)
-        if held:
-            yield flush()
+
+def _links(percent: int):
+    """Links that join components in each cell, by the full sets of its rows: no more than it has rows."""
+
+    def links(cell: pa.Table) -> pa.RecordBatch:
+        node, (left, right, inside) = np.asarray(cell.column("node")), _sides(cell)
+        values, sizes = _values(cell.column("shingles"))
+        shingles = np.unique(values, return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        component = np.asarray(cell.column("first")).copy()
+        marked = np.zeros(len(values), dtype=np.int32)
+        u, v = [], []
+        for p in left:
+            apart = right[(component[right] != component[p]) & (not inside or right > p)]
+            if not len(apart):
+                continue
+            own = shingles[starts[p] : ends[p]]
+            marked[own] = 1
+            common = np.add.reduceat(marked[shingles], starts)[apart].astype(np.int64)
+            marked[own] = 0
+            for q in apart[common * 100 >= (sizes[p] + sizes[apart] - common) * percent]:
+                if component[q] != component[p]:
+                    u.append(int(node[p]))
+                    v.append(int(node[q]))
+                    component[component == component[q]] = component[p]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(map(links, _each_cell(batches)))
 
     return run
 
@@ -236,20 +304,25 @@ class _Linker:
         named = self.links.select(F.col("u").alias(node), F.col("v").alias("__least"))
         return df.join(named, node, "left").withColumn(label, F.coalesce("__least", node)).drop("__least")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """The full sets of all documents of the pairs, stored."""
-        needed = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """The full sets of all documents ``node``, stored."""
+        needed = nodes.select(F.col("node").alias("doc_id")).distinct()
         texts = self.source.join(broadcast_if_small(needed, rows=1_000_000), "doc_id", "left_semi")
         return materialise(texts.mapInArrow(_sets(self.words), "node bigint, shingles array<bigint>"), "sets")
 
-    def add(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Compare the pairs ``(u, v)`` whose documents are not linked yet, on full sets."""
-        apart = self.label(self.label(pairs, "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v").distinct()
+    def compare(self, pairs: DataFrame) -> None:
+        """Compare the pairs ``(u, v)`` on full sets."""
+        sets = self.sets(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+        apart = pairs.where("u <> v").distinct()
         one, other = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("u", "v"))
         both = F.size(F.array_intersect("su", "sv")).cast("bigint")
         joined = apart.join(one, "u").join(other, "v")
         linked = joined.where(both * 100 >= (F.size("su") + F.size("sv") - both) * self.percent).select("u", "v")
-        self.links = stars(self.links.unionByName(linked))
+        self.add(linked)
+
+    def add(self, links: DataFrame) -> None:
+        """Take in verified links."""
+        self.links = stars(self.links.unionByName(links))
 
 
 def near_duplicates(
@@ -275,16 +348,17 @@ def near_duplicates(
     keyed = classes.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     members = materialise(keyed.join(shared, "key"), "members")
-    signatures = classes.select("node", "signature")
+    signatures = classes.select("node", "signature", "keys")
     one, other = (signatures.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}")) for n in ("u", "v"))
     # Of the least documents of its keys, each document is first compared with the one that most keys name.
     named = members.where("node <> least").groupBy("node", "least").agg(F.count("*").alias("n"))
-    most = named.groupBy("node").agg(F.max(F.struct("n", (-F.col("least")).alias("less"))).alias("most"))
-    pairs = most.select((-F.col("most.less")).alias("u"), F.col("node").alias("v"))
+    by_keys = Window.partitionBy("node").orderBy(F.col("n").desc(), "least")
+    most = named.withColumn("at", F.row_number().over(by_keys)).where(F.col("at") <= FIRST_TRIES)
+    pairs = most.select(F.col("least").alias("u"), F.col("node").alias("v"))
     likely = pairs.join(one, "u").join(other, "v").where(estimate("su", "sv", hashes) >= cut).select("u", "v")
     likely = materialise(likely, "likely")
     linker = _Linker(source, words, percent)
-    linker.add(likely, linker.sets(likely))
+    linker.compare(likely)
     _search_keys(linker, members, signatures, cut, hashes)
     placed = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
         classes.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left"
@@ -309,13 +383,11 @@ def _search_keys(linker: _Linker, members: DataFrame, signatures: DataFrame, cut
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("halves") - 1))).select(
         "key", F.least("half", "other").alias("i"), F.greatest("half", "other").alias("j"), "node", "first", "half"
     )
-    low, high = 0, FIRST_TRIES
-    # A document has fewer pairs in a cell than the cell has rows on its other side.
-    while low < 2 * CELL:
-        now = linker.label(cells, "node", "now").join(signatures, "node")
-        ordered = now.select("key", "i", "j", "node", "first", "now", "half", "signature").repartition("key", "i", "j")
-        searched = ordered.sortWithinPartitions("key", "i", "j").mapInArrow(_search(cut, hashes, low, high), "u bigint, v bigint")
-        found = materialise(searched.distinct(), "found")
-        if not found.isEmpty():
-            linker.add(found, linker.sets(found))
-        low, high = high, high * 16
+    ordered = cells.join(signatures, "node").select("key", "i", "j", "node", "first", "half", "signature", "keys")
+    searched = ordered.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = materialise(searched.mapInArrow(_likely_rows(cut, hashes), _LIKELY), "likely-rows")
+    if rows.isEmpty():
+        return
+    with_sets = rows.join(linker.sets(rows), "node").select("key", "i", "j", "node", "first", "half", "shingles")
+    compared = with_sets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    linker.add(materialise(compared.mapInArrow(_links(linker.percent), "u bigint, v bigint"), "found"))

@@ -87,6 +87,27 @@ def test_minhash_of_a_hot_key_in_cells(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected_duplicates(texts, 4)
 
 
+def test_minhash_hands_on_no_pairs_of_a_group(spark):
+    # Every text is likely to be near every other (0.66 to 0.79 in common), but no two are linked, save one pair.
+    base = [f"w{i}" for i in range(200)]
+    texts = {d: " ".join(base[: 3 * (d % 60)] + [f"x{d}"] + base[3 * (d % 60) + 1 : -9] + [f"y{d}{i}" for i in range(30)]) for d in range(240)}
+    texts[500] = texts[7] + " tail"
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    made, stored = [], minhash.materialise
+
+    def counted(rows, label):
+        kept = stored(rows, label)
+        made.append((kept.count(), label))
+        return kept
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(minhash, "materialise", counted)
+        found = minhash.near_duplicates(df, words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected_duplicates(texts, 4)
+    # A row for each key of a document at most; there are 28,680 pairs.
+    assert max(made)[0] <= 32 * len(texts)
+
+
 def test_minhash_edges(spark):
     schema = "doc_id bigint, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
