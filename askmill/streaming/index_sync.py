@@ -11,6 +11,8 @@ is still known to be older.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from askmill import schemas
 from askmill.operators.dimensions import broadcast_if_small
 from askmill.operators.latest import latest_per_key
 from askmill.operators.vectors import embed
+from askmill.session import materialise
 
 # Ids of changes are broadcast up to this many, if they are small enough as well.
 BROADCAST_IDS = 1_000_000
@@ -25,14 +28,20 @@ BROADCAST_IDS = 1_000_000
 VERSIONS = schemas.VECTORS + ", op string, seq bigint, version bigint"
 
 
+def _digest(text: str) -> Column:
+    """SHA-256 in half the bytes of its hex form, for shuffles."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def chunk_changes(before: DataFrame, after: DataFrame, seq: Column | int) -> DataFrame:
     """The change rows that lead from one state of the chunk table to another."""
-    old = before.select("id", F.sha2("text", 256).alias("old_hash"))
-    new = after.select("id", "text", F.sha2("text", 256).alias("new_hash"))
-    gone = F.col("new_hash").isNull()
+    old = before.select("id", _digest("text").alias("old_hash"))
+    # Digests of the new texts are taken behind the shuffle, which carries the texts anyway.
+    new = after.select("id", "text")
+    gone = F.col("text").isNull()
     return (
         old.join(new, "id", "full_outer")
-        .where(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
+        .where(~F.col("old_hash").eqNullSafe(_digest("text")))
         .select(
             "id",
             "text",
@@ -43,7 +52,7 @@ def chunk_changes(before: DataFrame, after: DataFrame, seq: Column | int) -> Dat
 
 
 def publish_changes(changes: DataFrame, feed: str) -> None:
-    changes.select("id", "text", "op", "seq").write.mode("append").parquet(feed)
+    changes.select("id", "text", "op", "seq").write.mode("append").option("compression", "zstd").parquet(feed)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -96,7 +105,55 @@ def compact_index(spark: SparkSession, index: str, target: str) -> None:
     touched = _versions(spark, index).where("op = 'touch'").groupBy("id").agg(F.max("seq").alias("_touched"))
     newest = _newest(spark, index).join(touched, "id", "left").withColumn("seq", F.greatest("seq", "_touched"))
     columns = [f.split()[0] for f in VERSIONS.split(", ")]
-    newest.withColumn("version", F.lit(-1).cast("bigint")).select(*columns).write.partitionBy("version").parquet(target)
+    newest.withColumn("version", F.lit(-1).cast("bigint")).select(*columns).write.option("compression", "zstd").partitionBy("version").parquet(target)
+
+
+def _decide(changes: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(id, n, seq, op, digest, fate)``: the last of the ``n`` changes of each id, and whether it is news, a touch or late.
+
+    Texts take no part: a change goes by the digest of its text.
+    """
+    marks = changes.select("id", "seq", "op", _digest("text").alias("digest"))
+    last = marks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("seq", "op", "digest")).alias("last"))
+    # Only the stored rows whose id changes; text and vectors are not read.
+    ids = broadcast_if_small(changes.select("id"), rows=BROADCAST_IDS)
+    touched = stored.select("id", "version", "op", "seq", F.unhex("content_hash").alias("digest")).join(ids, "id", "left_semi")
+    held = F.when(F.col("op") != "touch", F.struct("version", "op", "digest"))
+    state = touched.groupBy("id").agg(F.max("seq").alias("stored_seq"), F.max(held).alias("held"))
+    same_text = (F.col("held.op") == "upsert") & F.col("digest").eqNullSafe(F.col("held.digest"))
+    alters_nothing = F.when(F.col("op") == "delete", F.col("held.op") == "delete").otherwise(same_text)
+    is_new = F.col("stored_seq").isNull() | (F.col("seq") > F.col("stored_seq"))
+    fate = F.when(~F.coalesce(is_new, F.lit(False)), "late").when(alters_nothing, "touch").otherwise("news")
+    return last.select("id", "n", "last.*").join(state, "id", "left").select("id", "n", "seq", "op", "digest", fate.alias("fate"))
+
+
+def _news(changes: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(id, text, content_hash, op, seq)`` of the changes that count, touches without their text.
+
+    Which changes count is decided on digests. A change that is the only one of
+    its id and alters something goes on from where it was read; so texts are
+    shuffled only if ids repeat, or if too many ids are touched or late to be
+    sent to all tasks.
+    """
+    odd = materialise(_decide(changes, stored).where("n > 1 or fate != 'news'"), "odd-changes")
+    odd_rows = odd.agg(F.sum("n")).first()[0] or 0
+    repeated = odd.where("n > 1 and fate = 'news'").select(F.col("id").alias("_id"))
+    same_id = F.col("id").eqNullSafe(F.col("_id"))
+    touches = odd.where("fate = 'touch'").select(
+        "id", F.lit(None).cast("string").alias("text"), F.lower(F.hex("digest")).alias("content_hash"), F.lit("touch").alias("op"), "seq"
+    )
+    parts = []
+    if odd_rows == 0:
+        parts.append(changes)
+    elif odd_rows < changes.count():
+        parts.append(changes.join(broadcast_if_small(odd.select(F.col("id").alias("_id")), rows=BROADCAST_IDS), same_id, "left_anti"))
+    if not repeated.isEmpty():
+        several = changes.join(broadcast_if_small(repeated, rows=BROADCAST_IDS), same_id, "left_semi").withColumn("_digest", _digest("text"))
+        newest = [F.col("seq").desc(), F.col("op").desc(), F.col("_digest").desc_nulls_last()]
+        parts.append(latest_per_key(several, ["id"], newest))
+    whole = [part.select("id", "text", F.sha2("text", 256).alias("content_hash"), "op", "seq") for part in parts]
+    shown = [part.withColumn("text", F.when(F.col("op") == "upsert", F.col("text"))) for part in whole]
+    return reduce(DataFrame.unionByName, [touches, *shown])
 
 
 def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -> None:
@@ -108,25 +165,7 @@ def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -
     the same; changes that come late are dropped before anything is embedded, and
     of those that equal the stored state only their place in the feed is kept.
     """
-    spark = changes.sparkSession
-    hashed = changes.withColumn("content_hash", F.sha2("text", 256))
-    last = latest_per_key(hashed, ["id"], [F.col("seq").desc(), F.col("op").desc(), F.col("content_hash").desc_nulls_last()])
-    stored = _versions(spark, index).where(F.col("version") < version)
-    # Rank only the stored rows whose id changes; text and vectors are not read.
-    ids = broadcast_if_small(changes.select("id"), rows=BROADCAST_IDS)
-    touched = stored.select("id", "version", "op", "seq", "content_hash").join(ids, "id", "left_semi")
-    held = F.when(F.col("op") != "touch", F.struct("version", "op", "content_hash"))
-    state = touched.groupBy("id").agg(F.max("seq").alias("stored_seq"), F.max(held).alias("held"))
-    same_text = (F.col("held.op") == "upsert") & F.col("content_hash").eqNullSafe(F.col("held.content_hash"))
-    alters_nothing = F.when(F.col("op") == "delete", F.col("held.op") == "delete").otherwise(same_text)
-    is_touch = F.coalesce(alters_nothing, F.lit(False))
-    news = (
-        last.join(state, "id", "left")
-        .where(F.col("stored_seq").isNull() | (F.col("seq") > F.col("stored_seq")))
-        .withColumn("op", F.when(is_touch, F.lit("touch")).otherwise(F.col("op")))
-        .withColumn("text", F.when(F.col("op") == "upsert", F.col("text")))
-        .select("id", "text", "content_hash", "op", "seq")
-    )
+    news = _news(changes, _versions(changes.sparkSession, index).where(F.col("version") < version))
     # Other rows have no text; they pass the embedder and lose the vector of nothing.
     live = F.col("op") == "upsert"
     (
@@ -136,6 +175,7 @@ def apply_changes(changes: DataFrame, version: int, index: str, embedder=None) -
         .select("id", "text", "embedding", "norm", "content_hash", "op", "seq", "version")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy("version")
         .parquet(index)
     )

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from askmill.operators.vectors import build_index
 from askmill.streaming.index_sync import (
+    VERSIONS,
+    _news,
     apply_changes,
     chunk_changes,
     compact_index,
@@ -139,3 +141,48 @@ def test_changes_at_one_place_in_the_feed_have_an_order(spark, tmp_path):
         apply_changes(spark.createDataFrame(order, "id string, text string, op string, seq bigint"), 0, index)
         found.add(state(spark, index)["a"])
     assert len(found) == 1
+
+
+def _shuffles(df):
+    """The shuffles of a plan."""
+    return [line for line in df._jdf.queryExecution().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_texts_of_single_changes_are_not_shuffled(spark, tmp_path):
+    changes = spark.createDataFrame(
+        [(f"id{i}", f"text {i}", "upsert", 5) for i in range(50)] + [("gone", None, "delete", 5), (None, "no id", "upsert", 5)],
+        "id string, text string, op string, seq bigint",
+    )
+    empty = spark.createDataFrame([], VERSIONS)
+    news = _news(changes, empty)
+    assert not _shuffles(news)
+    assert sorted((r.id or "", r.text, r.op) for r in news.collect()) == sorted((r.id or "", r.text, r.op) for r in changes.collect())
+
+
+def test_single_repeated_late_and_touched_changes_of_one_batch(spark, tmp_path):
+    index = str(tmp_path / "index")
+    schema = "id string, text string, op string, seq bigint"
+    apply_changes(spark.createDataFrame([(i, "x", "upsert", 5) for i in ("late", "touched", "changed")], schema), 0, index)
+    rows = [
+        ("late", "y", "upsert", 4),
+        ("touched", "x", "upsert", 6),
+        ("changed", "y", "upsert", 6),
+        ("single", "s", "upsert", 6),
+        ("repeated", "a", "upsert", 6),
+        ("repeated", "b", "upsert", 7),
+        ("repeated", "b", "upsert", 7),
+        (None, "n", "upsert", 6),
+        (None, "m", "upsert", 7),
+        (None, "m", "upsert", 7),
+    ]
+    batch = spark.createDataFrame(rows, schema)
+    apply_changes(batch, 1, index)
+    written = spark.read.parquet(f"{index}/version=1").collect()
+    assert sorted((r.id or "", r.text or "", r.op, r.seq) for r in written) == [
+        ("", "m", "upsert", 7),
+        ("changed", "y", "upsert", 6),
+        ("repeated", "b", "upsert", 7),
+        ("single", "s", "upsert", 6),
+        ("touched", "", "touch", 6),
+    ]
+    assert all((r.embedding is None) == (r.text is None) and r.content_hash for r in written)
