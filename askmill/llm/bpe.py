@@ -24,7 +24,8 @@ import numpy as np
 #: Pieces remembered by a Python worker.
 WORDS = 1_000_000
 _PLAIN_CUT = re.compile(r"(?<=\S) (?=\S)")
-_MARKS = ".,;:!?"
+# Never part of a piece that began with letters; an apostrophe may be.
+_MARKS = ".,;:!?#$%&*|<>"
 _loaded: dict[tuple, PieceEncoder] = {}
 
 
@@ -119,12 +120,12 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_content)
         self.tokenizer.encode_special_tokens = True
-        # For a piece that the pattern leaves whole, in byte characters already.
-        self.single = Tokenizer.from_str(json.dumps({**json.loads(tokenizer_content), "pre_tokenizer": None}))
+        self.single = self._for_single(tokenizer_content)
         character = byte_characters()
         self.space, self.shown = character[32], {b: character[b] for b in range(256)}
         self.spaced = _Memory(self._spaced, words // 2)
         self.bare = _Memory(self._bare, words // 8)
+        self.newline = self.whole("\n")
 
     @classmethod
     def of(cls, tokenizer_content: str, words: int = WORDS) -> PieceEncoder:
@@ -134,27 +135,46 @@ class PieceEncoder:
             _loaded[key] = cls(tokenizer_content, words)
         return _loaded[key]
 
+    def _for_single(self, tokenizer_content: str):
+        """Ids of a piece that the pattern leaves whole, in byte characters already.
+
+        The merges alone give them, without a second tokenizer, unless the
+        tokenizer normalises texts or has words of its own.
+        """
+        from tokenizers import Tokenizer
+
+        content = json.loads(tokenizer_content)
+        if content["normalizer"] is None and all(token["special"] for token in content["added_tokens"]):
+            merge = self.tokenizer.model.tokenize
+            return lambda shown: [token.id for token in merge(shown)]
+        single = Tokenizer.from_str(json.dumps({**content, "pre_tokenizer": None}))
+        return lambda shown: single.encode(shown, add_special_tokens=False).ids
+
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str, before: str) -> bytes:
         """The ids of Latin letters after an optional space: one piece of the pattern."""
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-        return packed(self.single.encode(before + shown, add_special_tokens=False).ids)
+        return packed(self.single(before + shown))
 
     def _parts(self, memory: _Memory, piece: str) -> bytes | None:
         """The ids of ``piece`` from its parts, where it has a safe cut."""
-        left, newline, right = piece.partition("\n")
-        if newline and left and right and not left[-1].isspace() and not right[0].isspace():
-            return memory[left] + self.bare["\n"] + self.bare[right]
+        if "\n" in piece:
+            left, _, right = piece.partition("\n")
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                return memory[left] + self.newline + self.bare[right]
         word = piece.rstrip(_MARKS)
         if word and word != piece and word[-1] < "ɐ" and word[-1].isalpha():
             return memory[word] + self.bare[piece[len(word) :]]
         return None
 
     def _spaced(self, piece: str) -> bytes:
-        if is_word(piece):
-            return self._word(piece, self.space)
+        if piece.isalpha():
+            if piece.isascii():
+                return packed(self.single(self.space + piece))
+            if is_word(piece):
+                return self._word(piece, self.space)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _OddSpace
         parts = self._parts(self.spaced, piece)
@@ -169,16 +189,22 @@ class PieceEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        pieces = text.split(" ")
-        first = pieces[0]
+        # Empty lines are white space of more than one character: ``_line`` takes such a text in one.
+        lines = [text] if "\n\n" in text else text.split("\n")
         try:
-            if first and first[-1].isspace():
-                raise _OddSpace
-            return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, islice(pieces, 1, None)))
+            return self.newline.join([self._line(line) for line in lines])
         except _OddSpace:
             first, *rest = _PLAIN_CUT.split(text)
             return self.whole(first) + b"".join([self._odd(piece) for piece in rest])
 
+    def _line(self, line: str) -> bytes:
+        """The ids of a line that neither begins nor ends with white space; lines in it go by :meth:`_parts`."""
+        pieces = line.split(" ")
+        first = pieces[0]
+        if not first or first[0].isspace() or first[-1].isspace():
+            raise _OddSpace
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, islice(pieces, 1, None)))
+
     def _odd(self, piece: str) -> bytes:
         return self.whole(" " + piece) if piece[-1].isspace() else self.spaced[piece]
 

@@ -134,6 +134,24 @@ def check_packing(found, texts, capacity, longest, max_documents, max_attention,
         assert at <= capacity and len(rows) <= max_documents and sum(r.length**2 for r in rows) <= max_attention
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a\nb\n\nc d\n e\n", "word%%% été&&& a.### it's$ x'***' <|a|> b<c>\nd%\n%e\n'll", "\nfirst\tline \nlast\x85", " a\nb", "\n", "a\r\nb\n\tc"],
+)
+def test_lines_and_marks(text):
+    assert np.frombuffer(ENCODER.encode(text), dtype="<u4").tolist() == ids_of(text)
+    assert np.frombuffer(MULTI_ENCODER.encode(text), dtype="<u4").tolist() == TIKTOKEN.encode(text)
+
+
+def test_words_need_no_second_tokenizer_and_lines_no_memory():
+    encoder = PieceEncoder(JSON)
+    encoder.whole = None  # only for what has no safe cut
+    encoder.bare.update({mark: b"" for mark in (".", "%%%")})
+    encoder.encode("alpha beta.\ngamma%%% naïve")
+    assert set(encoder.spaced) == {"beta", "beta.", "naïve"}
+    assert set(encoder.bare) == {"alpha", "gamma", "gamma%%%", ".", "%%%"}
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("caps", [(1024, 1024, 1 << 20), (64, 3, 1500), (16, 2, 100)])
 def test_packing(spark, rule, caps):
