@@ -21,6 +21,8 @@ from itertools import islice
 
 import numpy as np
 
+from askmill.llm import remembered
+
 #: Pieces remembered by a Python worker.
 WORDS = 1_000_000
 _PLAIN_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -130,6 +132,7 @@ class PieceEncoder:
     @classmethod
     def of(cls, tokenizer_content: str, words: int = WORDS) -> PieceEncoder:
         """The encoder of this Python worker, kept from task to task."""
+        remembered.only("bpe", _loaded.clear)
         key = (hash(tokenizer_content), len(tokenizer_content), words)
         if key not in _loaded:
             _loaded[key] = cls(tokenizer_content, words)

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from askmill.llm import remembered
 from askmill.llm.components import stars
 from askmill.operators.dimensions import broadcast_if_small
 from askmill.session import materialise
@@ -119,6 +120,7 @@ class MinHasher:
 
 def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered.only("minhash", _hashes.clear)
         hasher = MinHasher(bands, rows)
         for batch in batches:
             out = [[], [], [], [], []]
@@ -143,6 +145,7 @@ def _sign(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered.only("minhash", _hashes.clear)
         for batch in batches:
             found = [shingle_set(text, words).view(np.int64) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askmill.llm.bpe import PieceEncoder
+from askmill.llm.bpe import WORDS, PieceEncoder
 from askmill.session import scratch_path
 
 #: Pieces that one task packs.
@@ -35,13 +35,18 @@ GROUP = 16_384
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)``: each document with its end id, in pieces of at most ``length`` ids."""
+def cut_pieces(
+    docs: DataFrame, tokenizer: str, length: int, end_id: int, doc_id: str = "doc_id", text: str = "text", words: int = WORDS
+) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32)``: each document with its end id, in pieces of at most ``length`` ids.
+
+    A Python worker remembers the ids of ``words`` words at most.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(shared.value)
+        encoder = PieceEncoder.of(shared.value, words)
         for batch in batches:
             owner, piece, start, size, crc = [], [], [], [], []
             for number, content in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -114,6 +119,7 @@ def pack(
     doc_id: str = "doc_id",
     text: str = "text",
     group: int = GROUP,
+    words: int = WORDS,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one row per piece.
 
@@ -127,7 +133,7 @@ def pack(
         raise ValueError("every capacity must admit one piece of one token")
     path = scratch_path(spark, "pieces")
     # Tokens are cut once; what follows reads five numbers a piece.
-    cut_pieces(docs, tokenizer, longest, end_id, doc_id, text).write.parquet(path)
+    cut_pieces(docs, tokenizer, longest, end_id, doc_id, text, words).write.parquet(path)
     pieces = spark.read.schema(_PIECES).parquet(path)
     full = F.col("length") == capacity
     groups = max(1, -(-pieces.where(~full).count() // group))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askmill.llm import remembered
 from askmill.llm.byte_bpe import with_columns
 
 #: Labelled documents that a model is fitted on, chosen by a hash of their ids.
@@ -303,6 +304,7 @@ _automata: dict[tuple, LexiconAutomaton] = {}
 
 
 def _automaton(model: ToxicityModel) -> LexiconAutomaton:
+    remembered.only("toxicity", _automata.clear)
     key = (tuple(model.words), tuple(model.stems))
     if key not in _automata:
         _automata.clear()

@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from askmill.llm import byte_bpe, packing, token_files
+import corpus_pipeline
+from askmill.llm import bpe, byte_bpe, minhash, packing, token_files, toxicity
 from askmill.llm.bpe import PieceEncoder, byte_table, decode_bytes
 
 JSON = byte_bpe.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
@@ -194,3 +195,36 @@ def test_offsets_and_split_characters(spark):
     table = byte_table(MULTI)
     cut = decode_bytes(table, ids[:-1].astype("<u4").tobytes())
     assert "🙂".encode() not in cut and hashlib.sha256(decode_bytes(table, ids.tobytes())).digest() == hashlib.sha256("né 🙂".encode()).digest()
+
+
+def test_a_worker_remembers_for_one_operator_at_a_time():
+    PieceEncoder.of(JSON, 64).encode("one two")
+    assert bpe._loaded
+    minhash.shingle_set("one two", 1)
+    list(minhash._sign(1, 4, 4)(iter([])))
+    assert not bpe._loaded
+    minhash.shingle_set("one two", 1)
+    assert minhash._hashes
+    toxicity._automaton(toxicity.ToxicityModel(["one"], []))
+    assert not minhash._hashes and toxicity._automata
+    PieceEncoder.of(JSON, 64)
+    assert not toxicity._automata
+
+
+def test_pieces_do_not_depend_on_the_words_remembered(spark):
+    few, many = (packing.pack(rows_of(spark, TEXTS), JSON, words=words).drop("sequence_id", "offset").collect() for words in (8, 1 << 16))
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many))
+
+
+def test_the_pipeline_hands_small_batches_to_python_unless_told_otherwise(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.prepare(spark)
+        assert int(spark.conf.get(name)) == corpus_pipeline.BATCH
+        spark.conf.set(name, 7)
+        corpus_pipeline.prepare(spark)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
