@@ -10,6 +10,8 @@ from askmill.session import materialise
 
 # Hot keys are broadcast up to this many, if they are small enough as well.
 HOT_KEYS = 100_000
+# Asks at up to this many moments (key and time) are answered by folding the observations.
+FEW_MOMENTS = 64
 
 
 def _hot_keys(moments: DataFrame, key: str, fits: int) -> DataFrame:
@@ -61,6 +63,35 @@ def _in_ranges(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value:
     return asks.join(resolved, [key, asked_at], "left").select(*asks.columns, value)
 
 
+def _few_moments(asks: DataFrame, key: str, asked_at: str) -> DataFrame | None:
+    """The moments of ``asks``, stored; None if there are many, which the first rows mostly tell."""
+    moments = asks.select(key, asked_at)
+    if moments.limit(16 * FEW_MOMENTS).distinct().count() > FEW_MOMENTS:
+        return None
+    few = materialise(moments.distinct(), "moments")
+    return few if few.count() <= FEW_MOMENTS else None
+
+
+def _at_moments(asks: DataFrame, seen: DataFrame, key: str, asked_at: str, value: str, moments: DataFrame) -> DataFrame:
+    """The same for asks at a few moments, whatever the size of a key.
+
+    An observation belongs to the first moment of its key that is not before it;
+    of each moment's observations the newest is kept before the shuffle.
+    """
+    times = moments.groupBy(key).agg(F.array_sort(F.collect_set(asked_at)).alias("_moments"))
+    first = F.try_element_at(F.filter("_moments", lambda moment: moment >= F.col("_at")), F.lit(1))
+    placed = seen.join(F.broadcast(times), key).select(key, "_at", "_held", first.alias("_moment"))
+    placed = placed.where(F.col("_moment").isNotNull())
+    newest = materialise(placed.groupBy(key, "_moment").agg(F.max("_at").alias("_at")), "newest")
+    held = placed.join(F.broadcast(newest), [key, "_moment", "_at"]).groupBy(key, "_moment").agg(F.max("_held").alias("_held"))
+    so_far = Window.partitionBy(key).orderBy("_moment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = moments.withColumnRenamed(asked_at, "_moment").join(held, [key, "_moment"], "left")
+    latest = known.select(
+        key, F.col("_moment").alias(asked_at), F.last("_held", ignorenulls=True).over(so_far)["value"].alias(value)
+    )
+    return asks.join(F.broadcast(latest), [key, asked_at], "left").select(*asks.columns, value)
+
+
 def latest_before(
     asks: DataFrame,
     observations: DataFrame,
@@ -72,7 +103,8 @@ def latest_before(
 ) -> DataFrame:
     """``asks`` with ``value`` of the latest observation of the same ``key``; NULL if none.
 
-    Of observations at the same time the greatest value counts. Rows per key
+    Of observations at the same time the greatest value counts. If all asks are
+    at a few moments, the observations are folded to these. Else rows per key
     are counted first: keys with more rows than one task should sort (``fits``)
     are worked on in ranges of time, all others as a whole.
     """
@@ -83,6 +115,9 @@ def latest_before(
     placed = F.col(key).isNotNull() & F.col(asked_at).isNotNull()
     dated = asks.where(placed)
     missing = asks.where(~placed).withColumn(value, F.lit(None).cast(observations.schema[value].dataType))
+    moments = _few_moments(dated, key, asked_at)
+    if moments is not None:
+        return _at_moments(dated, seen, key, asked_at, value, moments).unionByName(missing)
     hot = _hot_keys(dated.select(key).unionAll(seen.select(key)), key, fits)
     if hot.isEmpty():
         return _in_one_window(dated, seen, key, asked_at, value).unionByName(missing)

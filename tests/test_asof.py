@@ -49,6 +49,21 @@ def test_all_asks_at_one_time(spark):
     assert run(spark, asks, seen, 50) == {i: "v30" for i in range(500)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_asks_at_few_moments_sort_no_observations(spark, monkeypatch, seed):
+    from askmill.operators import asof
+
+    def refused(*_):
+        raise AssertionError("the observations of a key are brought together")
+
+    monkeypatch.setattr(asof, "_hot_keys", refused)
+    monkeypatch.setattr(asof, "_in_one_window", refused)
+    rng = random.Random(seed)
+    seen = [(rng.choice(["a", "b", None]), rng.choice([*range(40), None]), rng.choice([f"v{i:03d}", None])) for i in range(300)]
+    asks = [(rng.choice(["a", "b", "unseen", None]), rng.choice([0, 7, 20, 39, 90, None])) for _ in range(200)]
+    assert run(spark, asks, seen, 1_000_000) == expected(asks, seen)
+
+
 def test_null_values_count_as_observed(spark):
     seen = [("a", 1, "old"), ("a", 2, None)]
     assert run(spark, [("a", 1), ("a", 3)], seen, 0) == {0: "old", 1: None}
